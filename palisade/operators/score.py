@@ -26,28 +26,6 @@ from palisade.schemas import ASSESSMENT, VERDICT
 BatchFunction = Callable[[pd.DataFrame], "pd.DataFrame | Iterable[Mapping[str, Any]]"]
 
 
-def _answers(
-    function: BatchFunction, batch: pd.DataFrame, fallback: Mapping[str, Any]
-) -> list[Mapping[str, Any]]:
-    if batch.empty:
-        return []
-    try:
-        result = function(batch)
-        if isinstance(result, pd.DataFrame):
-            result = result.astype(object).where(result.notna(), None).to_dict("records")
-        result = [dict(answer) for answer in result]
-        if len(result) != len(batch):
-            raise ValueError("one answer per row expected")
-        return result
-    except Exception:
-        if len(batch) == 1:
-            return [fallback]
-        middle = len(batch) // 2
-        return _answers(function, batch.iloc[:middle], fallback) + _answers(
-            function, batch.iloc[middle:], fallback
-        )
-
-
 def _apply_batches(
     df: DataFrame,
     function: BatchFunction,
@@ -56,7 +34,29 @@ def _apply_batches(
     fallback: Mapping[str, Any],
     batch_rows: int,
 ) -> DataFrame:
-    """Run ``function`` over Arrow batches; ``fields`` maps answer key to column."""
+    """Run ``function`` over Arrow batches; ``fields`` maps answer key to column.
+
+    The helpers are local so that they travel with the task; nothing has to be
+    installed on the executors.
+    """
+
+    def answers_for(batch: pd.DataFrame) -> list[Mapping[str, Any]]:
+        if batch.empty:
+            return []
+        try:
+            result = function(batch)
+            if isinstance(result, pd.DataFrame):
+                result = result.astype(object).where(result.notna(), None).to_dict("records")
+            result = [dict(answer) for answer in result]
+            if len(result) != len(batch):
+                raise ValueError("one answer per row expected")
+            return result
+        except Exception:
+            if len(batch) == 1:
+                return [fallback]
+            middle = len(batch) // 2
+            return answers_for(batch.iloc[:middle]) + answers_for(batch.iloc[middle:])
+
     converters = {T.LongType(): lambda v: int(float(v)), T.StringType(): str}
 
     def convert(value: Any, field: T.StructField) -> Any:
@@ -71,7 +71,7 @@ def _apply_batches(
         for whole in batches:
             for start in range(0, len(whole), batch_rows):
                 part = whole.iloc[start:start + batch_rows].reset_index(drop=True)
-                answers = _answers(function, part, fallback)
+                answers = answers_for(part)
                 added = {
                     field.name: pd.Series(
                         [convert(a.get(key, defaults.get(key)), field) for a in answers],
