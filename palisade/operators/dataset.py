@@ -52,10 +52,10 @@ def complete_columns(alerts: DataFrame) -> DataFrame:
     ))
 
 
-def finalise(alerts: DataFrame) -> DataFrame:
-    """Dataset columns sorted by timestamp text, ties in source order.
+def in_time_order(alerts: DataFrame) -> DataFrame:
+    """Alerts sorted by timestamp text, ties in source order.
 
     The source order is part of the sort key, so the range partitions stay
     even when very many alerts share one timestamp.
     """
-    return complete_columns(alerts.orderBy("timestamp", "source_order"))
+    return alerts.orderBy("timestamp", "source_order")

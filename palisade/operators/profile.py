@@ -164,33 +164,45 @@ def attacker_profile(alerts: DataFrame, sources: DataFrame | None = None) -> Dat
     ports distinct and ascending. ``sources`` limits the profiles to the given
     addresses (a frame with ``src_ip``); all their alerts count.
 
-    Every hack alert becomes three facets (type, signature, port), reduced to
-    one row per distinct value before anything is collected.
+    Alerts are first reduced to one row per combination of the three values,
+    which happens inside the map tasks and is where a hot source shrinks. Each
+    combination then yields three facets, reduced again to distinct values
+    before anything is collected.
     """
     hacks = alerts.filter(_is_hack())
     if sources is not None:
         hacks = hacks.join(sources.select("src_ip"), "src_ip", "left_semi")
 
+    seen = F.struct("at", "timestamp")
+    combinations = (
+        hacks.withColumn("at", _time_order())
+        .groupBy("src_ip", "attack_type", "signature", "dst_port")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.max("risk_score").alias("max_risk"),
+            F.min(seen).alias("oldest"),
+            F.max(seen).alias("newest"),
+        )
+    )
+
     def facet(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
 
-    facets = hacks.select(
-        "src_ip", "timestamp", "risk_score", _time_order().alias("at"),
-        F.explode(F.array(
+    facets = combinations.select(
+        "src_ip", "rows", "max_risk", "oldest", "newest",
+        F.inline(F.array(
             facet("type", F.col("attack_type")),
             facet("signature", F.col("signature")),
             facet("port", F.col("dst_port")),
-        )).alias("facet"),
-    ).select("*", "facet.kind", "facet.value")
-    # each alert has exactly one type facet: it carries the per-alert facts
-    whole = F.col("kind") == "type"
-    distinct = facets.groupBy("src_ip", "kind", "value").agg(
-        F.min("at").alias("first_at"),
-        F.count_if(whole).alias("rows"),
-        F.max(F.when(whole, F.col("risk_score"))).alias("max_risk"),
-        F.min(F.when(whole, F.struct("at", "timestamp"))).alias("oldest"),
-        F.max(F.when(whole, F.struct("at", "timestamp"))).alias("newest"),
+        )),
     )
+    # each combination has exactly one type facet: it carries the row count
+    distinct = facets.groupBy("src_ip", "kind", "value").agg(
+        F.sum(F.when(F.col("kind") == "type", F.col("rows"))).alias("rows"),
+        F.max("max_risk").alias("max_risk"),
+        F.min("oldest").alias("oldest"),
+        F.max("newest").alias("newest"),
+    ).withColumn("first_at", F.col("oldest.at"))
 
     def collected(kind: str, *order: str) -> Column:
         entry = F.when(F.col("kind") == kind, F.struct(*order, "value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,26 +212,26 @@ def alert_feed(alerts: DataFrame, limit: int = fixed.FEED_ROWS) -> DataFrame:
 # --- accuracy against expected verdicts --------------------------------------------
 
 
-def expected_verdicts(spark) -> DataFrame:
-    return spark.createDataFrame(
-        list(fixed.EXPECTED_VERDICTS), "signature string, expected string"
-    )
-
-
-def accuracy_report(alerts: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+def accuracy_report(
+    alerts: DataFrame,
+    expected: Sequence[tuple[str, str]] = fixed.EXPECTED_VERDICTS,
+) -> DataFrame:
     """Per expected signature: alerts, correct verdicts, percent, status.
 
-    Alerts are counted per signature and verdict first, so the join moves
-    counts; signatures without alerts stay with zeros.
+    The signatures reach the scan as a filter, and alerts are counted before
+    the join; signatures without alerts stay with zeros.
     """
-    if expected is None:
-        expected = expected_verdicts(alerts.sparkSession)
-    counts = alerts.groupBy("signature", "llm_classification").agg(
-        F.count(F.lit(1)).alias("n")
+    table = alerts.sparkSession.createDataFrame(
+        list(expected), "signature string, expected string"
+    )
+    counts = (
+        alerts.filter(F.col("signature").isin(*(signature for signature, _ in expected)))
+        .groupBy("signature", "llm_classification")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     correct = F.col("llm_classification") == F.col("expected")
     return (
-        expected.join(counts, "signature", "left")
+        table.join(counts, "signature", "left")
         .groupBy("signature", "expected")
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("alerts"),

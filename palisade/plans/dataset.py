@@ -21,12 +21,14 @@ def build_dataset(alerts: DataFrame, flows: DataFrame | None = None) -> DataFram
     ``flows`` the flow columns are null and scoring knows none were supplied.
 
     Repeats are dropped before the join: the join adds columns but never rows,
-    so the result is the same and only alerts that stay are moved again.
+    so the result is the same and only alerts that stay are moved again. Labels
+    are computed per row after the last shuffle, so they are not moved at all.
     """
     kept = ops.drop_repeats(alerts)
     if flows is not None:
         kept = enrich.join_flows(kept, enrich.flow_summary(flows))
-    return ops.finalise(ops.label_alerts(kept, with_flows=flows is not None))
+    labelled = ops.label_alerts(ops.in_time_order(kept), with_flows=flows is not None)
+    return ops.complete_columns(labelled)
 
 
 def read_alert_logs(

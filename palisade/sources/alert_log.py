@@ -83,6 +83,13 @@ def count_lines(lines: DataFrame, *, grammar: str = "archive") -> DataFrame:
     return totals.withColumn("rejected", F.col("lines") - F.col("parsed"))
 
 
+def rejected_lines(lines: DataFrame, *, grammar: str = "archive") -> DataFrame:
+    """The lines :func:`parse_alert_lines` drops, unchanged."""
+    _, groups, _ = _GRAMMARS[grammar]
+    fits = F.size(_captures(F.col("value"), grammar)) == len(groups)
+    return lines.filter(~F.coalesce(fits, F.lit(False)))
+
+
 def event_time(timestamp: Column) -> Column:
     """The alert's text timestamp as a time-zone free timestamp, or null."""
     return F.try_to_timestamp(timestamp, F.lit(ALERT_TIMESTAMP_FORMAT)).cast(

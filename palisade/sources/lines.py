@@ -40,6 +40,11 @@ def read_lines_if_present(
         raise
 
 
+def newest_lines(lines: DataFrame, limit: int) -> DataFrame:
+    """The last ``limit`` lines in source order."""
+    return lines.orderBy(F.desc("source_order")).limit(limit)
+
+
 def stream_lines(
     spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None
 ) -> DataFrame:

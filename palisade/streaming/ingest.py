@@ -6,6 +6,7 @@ again after a failure replaces its own partition, so nothing is added twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +65,7 @@ def distinct_lines(lines: DataFrame, *, salts: int = 16) -> DataFrame:
     and the task number is the same when a task is tried again.
     ``salts=1`` leaves the first step out.
     """
-    hashed = lines.withColumn("line_hash", F.md5("value"))
+    hashed = lines.withColumn("line_hash", F.unhex(F.md5("value")))
     if salts > 1:
         hashed = (
             hashed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
@@ -75,17 +76,12 @@ def distinct_lines(lines: DataFrame, *, salts: int = 16) -> DataFrame:
     return hashed.dropDuplicates(["line_hash"]).drop("_salt", "_arrived")
 
 
-def parsed_stream(lines: DataFrame, ttl: DataFrame | None = None) -> DataFrame:
-    """Distinct lines parsed as live alerts, with ``ttl`` and ``created_at``.
+def parsed_stream(lines: DataFrame) -> DataFrame:
+    """Distinct lines parsed as live alerts, with ``created_at``.
 
-    ``ttl`` is a static frame (source, TTL); without it every alert gets 0.
     ``created_at`` is the time of the micro-batch, the same if it runs again.
     """
     alerts = parse_alert_lines(distinct_lines(lines), grammar="live")
-    if ttl is None:
-        alerts = alerts.withColumn("ttl", F.lit(0).cast("bigint"))
-    else:
-        alerts = join_ttl(alerts, ttl)
     return alerts.withColumn("created_at", F.current_timestamp())
 
 
@@ -99,11 +95,23 @@ def _numbered(batch: DataFrame, batch_id: int) -> DataFrame:
 
 
 def store_batch(
-    batch: DataFrame, batch_id: int, tables: Tables,
+    batch: DataFrame,
+    batch_id: int,
+    tables: Tables,
+    *,
+    ttl: DataFrame | None = None,
     scorer: BatchFunction | None = None,
 ) -> DataFrame:
-    """Score and store one batch of alerts; returns the rows as stored."""
-    scored = score_alerts(_numbered(batch, batch_id), scorer)
+    """Enrich, score and store one batch of alerts; returns the rows as stored.
+
+    ``ttl`` holds the TTL per source; without it every alert gets 0.
+    """
+    alerts = _numbered(batch, batch_id)
+    if ttl is None:
+        alerts = alerts.withColumn("ttl", F.lit(0).cast("bigint"))
+    else:
+        alerts = join_ttl(alerts, ttl)
+    scored = score_alerts(alerts, scorer)
     write_batch(
         scored.select(*(F.col(f.name).cast(f.dataType) for f in ALERTS.fields)),
         tables.alerts, batch_id,
@@ -123,6 +131,7 @@ def profile_batch(
     of all batches (a few rows per source) instead of from all alerts. A
     profile is written once and never refreshed; rows of this very batch are
     ignored when looking for existing profiles, so a repeat run rewrites them.
+    Its id is that of the attacker's first hack alert in the batch.
     """
     spark = stored.sparkSession
     write_batch(profile.port_facts(stored), tables.facts, batch_id)
@@ -130,7 +139,7 @@ def profile_batch(
     profiles = read_table(spark, tables.profiles, with_batch_id(PROFILES))
     attackers = (
         stored.filter(F.col("llm_classification") == "hack")
-        .select("src_ip").distinct()
+        .groupBy("src_ip").agg(F.min("id").alias("id"))
     )
     candidates = profile.without_profile(
         attackers, profiles.filter(F.col("batch_id") < batch_id)
@@ -138,10 +147,9 @@ def profile_batch(
     history = facts.filter(F.col("batch_id") <= batch_id).join(
         candidates, "src_ip", "left_semi"
     )
-    assessed = assess_profiles(profile.profile_facts(history), assessor)
-    placed = with_position(assessed, ["src_ip"])
+    due = profile.profile_facts(history).join(candidates, "src_ip")
     rows = (
-        placed.withColumn("id", F.col("position") + F.lit(batch_id * IDS_PER_BATCH))
+        assess_profiles(due, assessor)
         .withColumn("time_span", profile.time_span(F.col("first_seen"), F.col("last_seen")))
         .withColumn("created_at", F.col("last_seen"))
         .withColumn("updated_at", F.col("last_seen"))
@@ -156,7 +164,7 @@ def start_ingest(
     lines: DataFrame,
     tables: Tables,
     *,
-    ttl: DataFrame | None = None,
+    ttl: Callable[[], DataFrame] | None = None,
     scorer: BatchFunction | None = None,
     assessor: BatchFunction | None = None,
     available_now: bool = False,
@@ -164,16 +172,25 @@ def start_ingest(
     """Start the ingest of a streaming frame of raw lines.
 
     Polls on a fixed interval, or with ``available_now`` works off what is
-    there and stops.
+    there and stops. ``ttl`` is called for every batch that has alerts, so it
+    sees flow logs that arrived in the meantime.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = store_batch(batch, batch_id, tables, scorer)
-        if not stored.isEmpty():
+        # several jobs read the batch; the stateful plan behind it runs once
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            stored = store_batch(
+                batch, batch_id, tables, ttl=ttl and ttl(), scorer=scorer
+            )
             profile_batch(stored, batch_id, tables, assessor)
+        finally:
+            batch.unpersist()
 
     writer = (
-        parsed_stream(lines, ttl).writeStream.foreachBatch(handle)
+        parsed_stream(lines).writeStream.foreachBatch(handle)
         .option("checkpointLocation", tables.checkpoint)
     )
     if available_now:
@@ -202,5 +219,11 @@ def stored_alerts(spark: SparkSession, tables: Tables) -> DataFrame:
     return read_table(spark, tables.alerts, with_batch_id(ALERTS)).select(*ALERTS.fieldNames())
 
 
+def batch_counts(spark: SparkSession, tables: Tables) -> DataFrame:
+    """New alerts per batch."""
+    stored = read_table(spark, tables.alerts, with_batch_id(ALERTS))
+    return stored.groupBy("batch_id").agg(F.count(F.lit(1)).alias("alerts"))
+
+
 def stored_profiles(spark: SparkSession, tables: Tables) -> DataFrame:
     return read_table(spark, tables.profiles, with_batch_id(PROFILES)).select(*PROFILES.fieldNames())

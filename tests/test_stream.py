@@ -64,6 +64,8 @@ def test_stream_equals_batch_and_survives_restart(feed, spark, rows):
     assert by_id == sorted(by_id)
     feed.run()
     assert feed.alerts().count() == 4
+    new = {r[0]: r[1] for r in ingest.batch_counts(spark, feed.tables).collect()}
+    assert sorted(new.values()) == [1, 1, 2]
 
 
 def test_profile_once_at_the_second_hack(feed):
@@ -91,7 +93,7 @@ def test_repeated_batch_adds_nothing(feed, spark, rows):
         spark, feed.tables.alerts, tables.with_batch_id(ingest.ALERTS)
     ).cache()
     (batch_id,) = {r[0] for r in stored.select("batch_id").distinct().collect()}
-    again = spark.createDataFrame(stored.collect(), stored.schema).withColumn("line_hash", F.lit("h"))
+    again = spark.createDataFrame(stored.collect(), stored.schema).withColumn("line_hash", F.unhex(F.md5("timestamp")))
     again = again.drop("id", "batch_id")
     ingest.profile_batch(ingest.store_batch(again, batch_id, feed.tables), batch_id, feed.tables)
     spark.catalog.clearCache()
@@ -108,7 +110,7 @@ def test_ttl_scorer_and_assessor(feed, spark):
 
     ttl = spark.createDataFrame([("10.0.0.1", 64)], "src_ip string, ttl bigint")
     feed.land(line(1), line(2), line(3, ip="10.0.0.2"))
-    feed.run(ttl=ttl, scorer=scorer, assessor=assessor)
+    feed.run(ttl=lambda: ttl, scorer=scorer, assessor=assessor)
     got = {(r["src_ip"], r["ttl"], r["explanation"]) for r in feed.alerts().collect()}
     assert got == {("10.0.0.1", 64, ""), ("10.0.0.2", 0, "")}
     (found,) = feed.profiles().values()

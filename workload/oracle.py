@@ -384,6 +384,12 @@ ORACLE_SQL: dict[str, str] = {
                (SELECT count(*) FROM lines) - (SELECT count(*) FROM live)""",
         "parsed", "live",
     ),
+    "rejected_alert_lines": _with(
+        f"""
+        SELECT "value", interface, source_rank, line FROM lines
+        WHERE NOT regexp_matches(trim("value"), {_text('^' + fixed.LIVE_LINE_PATTERN)})""",
+        "lines",
+    ),
     "alert_event_time": _with(
         f"""
         SELECT source_rank, line, "timestamp",
@@ -408,6 +414,15 @@ ORACLE_SQL: dict[str, str] = {
         "parsed", "summary",
     ),
     "ttl_latest": _with("SELECT * FROM ttls", "ttls"),
+    "ttl_latest_of_tail": _with(
+        """
+        SELECT src_ip, max_by(ttl, source_rank * 1000000000000 + line) AS ttl
+        FROM ttl_records
+        WHERE (source_rank, line) IN (SELECT (source_rank, line) FROM eve_lines
+                                      ORDER BY source_rank DESC, line DESC LIMIT 100)
+        GROUP BY src_ip""",
+        "ttl_records",
+    ),
     "ttl_enrich": _with(
         f"""
         SELECT source_rank, line, src_ip, ttl, {_OS} AS os
@@ -647,6 +662,7 @@ ORACLE_SQL: dict[str, str] = {
         'SELECT DISTINCT "value", md5("value") AS line_hash FROM lines', "lines"
     ),
     "stream_ingest": _with(_INGESTED, "live", "ttls"),
+    "stream_new_per_batch": _with("SELECT count(DISTINCT line) AS alerts FROM live", "live"),
     "stream_profiles": _with(
         f"""
         SELECT src_ip, 'unknown' AS methodology,

@@ -17,8 +17,14 @@ from palisade.plans import analytics
 from palisade.plans.dataset import build_dataset, read_alert_logs
 from palisade.session import fresh_path
 from palisade.sources import tables
-from palisade.sources.alert_log import count_lines, event_time, parse_alert_lines
+from palisade.sources.alert_log import (
+    count_lines,
+    event_time,
+    parse_alert_lines,
+    rejected_lines,
+)
 from palisade.sources.eve import parse_flow_lines, parse_ttl_lines
+from palisade.sources.lines import newest_lines
 from palisade.streaming import ingest
 from workload import binding
 
@@ -88,6 +94,11 @@ def parse_reject_count(spark, sf_dir):
     return archive.unionByName(live)
 
 
+@query
+def rejected_alert_lines(spark, sf_dir):
+    return _source_line(rejected_lines(_lines(spark, sf_dir), grammar="live"))
+
+
 @query
 def alert_event_time(spark, sf_dir):
     parsed = _source_line(_parsed(spark, sf_dir))
@@ -153,6 +164,12 @@ def ttl_latest(spark, sf_dir):
     return enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
 
 
+@query
+def ttl_latest_of_tail(spark, sf_dir):
+    tail = newest_lines(_flow_lines(spark, sf_dir), 100)
+    return enrich.latest_ttl(parse_ttl_lines(tail))
+
+
 @query
 def ttl_enrich(spark, sf_dir):
     ttl = enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
@@ -544,7 +561,10 @@ def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Tables:
     where = ingest.Tables.below(fresh_path(spark, "ingest"))
-    ttl = enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
+
+    def ttl() -> DataFrame:
+        return enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
+
     ingest.start_ingest(
         _line_stream(spark, sf_dir), where, ttl=ttl, available_now=True
     ).awaitTermination()
@@ -558,7 +578,8 @@ def stream_dedup(spark, sf_dir):
     distinct.writeStream.format("parquet").option(
         "checkpointLocation", f"{path}-progress"
     ).trigger(availableNow=True).start(path).awaitTermination()
-    return spark.read.schema(distinct.schema).parquet(path)
+    stored = spark.read.schema(distinct.schema).parquet(path)
+    return stored.withColumn("line_hash", F.lower(F.hex("line_hash")))
 
 
 @query
@@ -567,6 +588,11 @@ def stream_ingest(spark, sf_dir):
     return ingest.stored_alerts(spark, where).drop("id", "created_at")
 
 
+@query
+def stream_new_per_batch(spark, sf_dir):
+    return ingest.batch_counts(spark, _ingested(spark, sf_dir)).select("alerts")
+
+
 @query
 def stream_profiles(spark, sf_dir):
     where = _ingested(spark, sf_dir)
