@@ -18,6 +18,10 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a commit uploads what changed, not whole state files
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # expired state goes with the next batch that has data
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 

@@ -84,23 +84,29 @@ def parse_ttl_lines(lines: DataFrame) -> DataFrame:
     """``src_ip``, ``ttl`` of records that carry both an alert and a TTL key.
 
     A key that is present with a null value counts as present, which only the
-    key list of the object can tell. The text test in front of it spares the
-    second JSON parse for lines that cannot qualify.
+    key list of the object can tell. The text test in front spares the JSON
+    parse for lines that cannot qualify.
     """
     value = F.col("value")
-    likely = lines.filter(
-        F.contains(value, F.lit('"ttl"')) & F.contains(value, F.lit('"alert"'))
-    )
-    parsed = keep_wanted(
+    likely = F.contains(value, F.lit('"ttl"')) & F.contains(value, F.lit('"alert"'))
+    parsed = F.when(
         likely,
-        _records(value, EVE_TTL_RECORD),
-        lambda records: _one_object(records)
-        & (F.coalesce(records[0]["src_ip"], F.lit("")) != F.lit("")),
-        "records",
+        F.struct(
+            _records(value, EVE_TTL_RECORD).alias("records"),
+            F.json_object_keys(value).alias("keys"),
+        ),
     )
-    keys = F.json_object_keys(value)
-    record = F.col("records")[0]
+
+    def wanted(line: Column) -> Column:
+        records, keys = line["records"], line["keys"]
+        return (
+            _one_object(records)
+            & (F.coalesce(records[0]["src_ip"], F.lit("")) != F.lit(""))
+            & F.array_contains(keys, "alert")
+            & F.array_contains(keys, "ttl")
+        )
+
+    kept = keep_wanted(lines, parsed, wanted, "parsed")
+    record = F.col("parsed.records")[0]
     carried = [c for c in lines.columns if c != "value"]
-    return parsed.filter(
-        F.array_contains(keys, "alert") & F.array_contains(keys, "ttl")
-    ).select(record["src_ip"].alias("src_ip"), record["ttl"].alias("ttl"), *carried)
+    return kept.select(record["src_ip"].alias("src_ip"), record["ttl"].alias("ttl"), *carried)

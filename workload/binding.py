@@ -41,6 +41,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fields(table)
 
 
+def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`events` over all cores, for queries that render and parse text.
+
+    A file with fewer splits than cores would leave most of them idle; with
+    enough splits nothing is moved.
+    """
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores:
+        table = table.repartition(cores)
+    return _with_fields(table)
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     table = spark.readStream.schema(schema).option(

@@ -39,7 +39,7 @@ def query(function: Query) -> Query:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.alert_lines(binding.events(spark, sf_dir))
+    return binding.alert_lines(binding.wide_events(spark, sf_dir))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.flow_lines(binding.events(spark, sf_dir))
+    return binding.flow_lines(binding.wide_events(spark, sf_dir))
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
