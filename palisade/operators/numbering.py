@@ -39,12 +39,14 @@ def with_position(
     pieces = placed.groupBy(*group, "_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first")
     )
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(
+    # one row per group and partition; without groups, one per partition
+    same_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    earlier = same_group.orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = pieces.withColumn(
         "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    ).withColumn("_total", F.sum("_rows").over(Window.partitionBy(*group))).drop("_rows")
+    ).withColumn("_total", F.sum("_rows").over(same_group)).drop("_rows")
     # null-safe, so rows without a group value are numbered like any group
     on = F.col("p._part") == F.col("o._part")
     for column in group:

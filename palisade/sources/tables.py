@@ -59,6 +59,13 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def read_batch(
+    spark: SparkSession, path: str, schema: T.StructType, batch_id: int
+) -> DataFrame:
+    """The rows of one batch; only its own folder is listed."""
+    return read_table(spark, f"{path.rstrip('/')}/batch_id={batch_id}", schema)
+
+
 def with_batch_id(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 

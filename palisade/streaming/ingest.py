@@ -20,7 +20,12 @@ from palisade.operators.numbering import with_position
 from palisade.operators.score import BatchFunction, assess_profiles, score_alerts
 from palisade.schemas import ALERTS, PROFILES
 from palisade.sources.alert_log import parse_alert_lines
-from palisade.sources.tables import read_table, with_batch_id, write_batch
+from palisade.sources.tables import (
+    read_batch,
+    read_table,
+    with_batch_id,
+    write_batch,
+)
 
 POLL_INTERVAL = "10 seconds"
 
@@ -42,17 +47,18 @@ FACTS = T.StructType([
 
 @dataclass(frozen=True)
 class Tables:
-    """Where one ingest keeps its tables and its progress."""
+    """Where one ingest keeps its tables, the batch at hand and its progress."""
 
     alerts: str
     facts: str
     profiles: str
+    staging: str
     checkpoint: str
 
     @classmethod
     def below(cls, root: str) -> Tables:
         return cls(*(f"{root.rstrip('/')}/{name}" for name in (
-            "alerts", "attacker_facts", "attacker_profiles", "checkpoint")))
+            "alerts", "attacker_facts", "attacker_profiles", "staging", "checkpoint")))
 
 
 def distinct_lines(lines: DataFrame, *, salts: int = 16) -> DataFrame:
@@ -116,8 +122,7 @@ def store_batch(
         scored.select(*(F.col(f.name).cast(f.dataType) for f in ALERTS.fields)),
         tables.alerts, batch_id,
     )
-    stored = read_table(batch.sparkSession, tables.alerts, with_batch_id(ALERTS))
-    return stored.filter(F.col("batch_id") == batch_id)
+    return read_batch(batch.sparkSession, tables.alerts, ALERTS, batch_id)
 
 
 def profile_batch(
@@ -176,18 +181,20 @@ def start_ingest(
     sees flow logs that arrived in the meantime.
     """
 
+    session = lines.sparkSession
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # several jobs read the batch; the stateful plan behind it runs once
-        batch = batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            stored = store_batch(
-                batch, batch_id, tables, ttl=ttl and ttl(), scorer=scorer
-            )
-            profile_batch(stored, batch_id, tables, assessor)
-        finally:
-            batch.unpersist()
+        # Written once and read back: the stateful plan behind the batch runs
+        # once, and the work on the rows happens in the caller's session, with
+        # adaptive execution, which a stream's own session switches off.
+        batch.write.mode("overwrite").parquet(tables.staging)
+        staged = session.read.schema(batch.schema).parquet(tables.staging)
+        if staged.isEmpty():
+            return
+        stored = store_batch(
+            staged, batch_id, tables, ttl=ttl and ttl(), scorer=scorer
+        )
+        profile_batch(stored, batch_id, tables, assessor)
 
     writer = (
         parsed_stream(lines).writeStream.foreachBatch(handle)

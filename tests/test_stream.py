@@ -1,3 +1,5 @@
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +30,10 @@ class Feed:
 
     def land(self, *lines):
         self.files += 1
-        (self.folder / f"{self.files:03}.log").write_text("".join(f"{x}\n" for x in lines))
+        file = self.folder / f"{self.files:03}.log"
+        file.write_text("".join(f"{x}\n" for x in lines))
+        # a second apart, so that files are taken in landing order
+        os.utime(file, (1_700_000_000 + self.files,) * 2)
 
     def run(self, one_file_per_batch=False, **options):
         limit = 1 if one_file_per_batch else None
