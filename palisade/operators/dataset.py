@@ -18,15 +18,15 @@ def label_alerts(alerts: DataFrame, *, with_flows: bool) -> DataFrame:
     no-traffic points (see :func:`palisade.functions.labels.fp_likelihood`).
     """
     flow_bytes = F.col("flow_bytes") if with_flows else None
-    return (
-        alerts.withColumn("attack_type", labels.attack_type(F.col("signature")))
-        .withColumn(
-            "fp_likelihood",
-            labels.fp_likelihood(F.col("signature"), F.col("priority"), flow_bytes),
-        )
-        .withColumn("kill_chain_stage", labels.kill_chain_stage(F.col("attack_type")))
-        .withColumn("ground_truth", labels.ground_truth(F.col("fp_likelihood")))
-    )
+    signature = F.col("signature")
+    scored = alerts.withColumns({
+        "attack_type": labels.attack_type(signature),
+        "fp_likelihood": labels.fp_likelihood(signature, F.col("priority"), flow_bytes),
+    })
+    return scored.withColumns({
+        "kill_chain_stage": labels.kill_chain_stage(F.col("attack_type")),
+        "ground_truth": labels.ground_truth(F.col("fp_likelihood")),
+    })
 
 
 def drop_repeats(alerts: DataFrame) -> DataFrame:

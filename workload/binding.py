@@ -6,6 +6,8 @@ every query grows with that table.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,13 @@ def _pick(values, index: Column) -> Column:
     return F.array(*(F.lit(v) for v in values))[index.cast("int")]
 
 
+@lru_cache
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     return _with_fields(table)
 
 
+@lru_cache
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`events` over all cores, for queries that render and parse text.
 
