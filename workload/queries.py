@@ -59,7 +59,7 @@ def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.stored_alerts(binding.events(spark, sf_dir))
+    return binding.stored_alerts(binding.wide_events(spark, sf_dir))
 
 
 def _source_line(df: DataFrame) -> DataFrame:
