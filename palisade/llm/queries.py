@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import mixing, tokens
+from palisade.llm import mixing, simhash, tokens, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,7 +30,17 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_source_mixing": op4_source_mixing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_winnowing": op7_winnowing,
 }
