@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.components import connected_components
-from palisade.llm.rows import by_bytes, stored
+from palisade.llm.rows import by_bytes, small_or_not, stored
 from palisade.llm.sequences import mix, window_hashes, word_bounds, word_hashes
 
 SHINGLE_WORDS = 3
@@ -271,9 +271,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, wide_distance: int = 0) ->
     own = index.join(touched, place, "left_semi")
     members = stored(own if members is None else own.unionAll(members), "members")
 
-    sizes = members.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
-    counted = members.join(sizes, place)
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+    sizes = members.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    counted = members.join(small_or_not(sizes), place, "left")
+    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("long")
     placed = counted.withColumn("_blocks", blocks).withColumn(
         "_own", F.pmod(F.xxhash64("node"), F.col("_blocks"))
     ).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
