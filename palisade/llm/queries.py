@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import debruijn, decontaminate, lines, mixing, simhash, tokens, toxicity, winnowing
+from palisade.llm import chat, debruijn, decontaminate, lines, mixing, simhash, tokens, toxicity, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -53,6 +53,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.windows(given.unionByName(added)))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_source_mixing": op4_source_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_chat_windows": op6_chat_windows,
     "op7_winnowing": op7_winnowing,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
