@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat, debruijn, decontaminate, lines, mixing, simhash, tokens, toxicity, winnowing
+from palisade.llm import chat, debruijn, decontaminate, lines, mixing, pii, simhash, tokens, toxicity, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -67,6 +67,14 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(f"n_{kind}" for kind in pii.KINDS),
+        F.sha2("base", 256).alias("base_sha256"), "spans",
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, _table(spark, sf_dir, "labels")).select(
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_chat_windows": op6_chat_windows,
     "op7_winnowing": op7_winnowing,
+    "op8_personal_data": op8_personal_data,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
