@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.rows import stored
+from palisade.llm.rows import join_grouped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,14 +17,14 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(
+    return join_grouped(both.filter("v > u"), least, ["u"]).select(
         F.col("v").alias("u"), F.col("m").alias("v")
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v != m").select(
+    moved = join_grouped(edges, least, ["u"]).filter("v != m").select(
         F.col("v").alias("u"), F.col("m").alias("v")
     )
     return moved.unionAll(least.select("u", F.col("m").alias("v")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.rows import KEY, by_bytes, join_by_row, keyed, stored
+from palisade.llm.rows import KEY, by_bytes, join_by_row, join_grouped, keyed, stored
 from palisade.llm.sequences import sliding_minimum, window_hashes, word_bounds, word_hashes
 
 SPAN = 35  # words
@@ -110,7 +110,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, core: int = CORE) -> DataF
         F.count(F.lit(1)).alias("n"),
         ((F.min("path_a") != F.max("path_a")) | (F.min("path_b") != F.max("path_b"))).alias("varied"),
     ).filter("n > 1").select("core", "varied")
-    candidates = stored(found.join(repeated, "core"), "paths")
+    candidates = stored(join_grouped(found, repeated, ["core"]), "paths")
 
     # a tuple of firsts belongs to one row: any occurrence of equal words will do
     place = [KEY, "doc_id", "first", "edges"]
@@ -126,7 +126,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, core: int = CORE) -> DataF
     )
     edges = _edges_of(join_by_row(docs, asked, "inner").select("text", "asked"), span)
     shared = edges.groupBy("edge_a", "edge_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = edges.join(shared.select("edge_a", "edge_b"), ["edge_a", "edge_b"]).groupBy(*_PATH).agg(
+    both = ["edge_a", "edge_b"]
+    parts = join_grouped(edges, shared.select(*both), both).groupBy(*_PATH).agg(
         F.collect_list("offset").alias("offsets")
     )
     parts = parts.join(whole.select(*_PATH), _PATH, "left_anti").select(*_PATH, "offsets")
@@ -138,7 +139,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, core: int = CORE) -> DataF
         F.array(F.struct(first.alias("a"), (first + F.col("edges") + width - 1).alias("b"))),
     ).otherwise(F.transform("offsets", lambda o: F.struct(
         (first + o).alias("a"), (first + o + width).alias("b"))))
-    return candidates.join(marks, _PATH).select(KEY, "doc_id", ranges.alias("r")).groupBy(
+    return join_grouped(candidates, marks, _PATH).select(KEY, "doc_id", ranges.alias("r")).groupBy(
         KEY, "doc_id"
     ).agg(F.flatten(F.collect_list("r")).alias("spans"))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.rows import KEY, by_bytes, join_by_row, keyed, row_key, stored
+from palisade.llm.rows import KEY, by_bytes, join_by_row, join_grouped, keyed, row_key, stored
 from palisade.llm.sequences import window_hashes
 
 WINDOW = 2  # lines that a boundary depends on
@@ -85,16 +85,14 @@ def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     marked = _chunks(docs, min_lines, with_text=False)
     often = marked.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    candidates = stored(
-        _chunks(docs, min_lines, with_text=True).join(often.select("digest"), "digest", "left_semi"),
-        "chunks",
-    )
+    candidates = stored(join_grouped(
+        _chunks(docs, min_lines, with_text=True), often.select("digest"), ["digest"], "left_semi"
+    ), "chunks")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", KEY, "begin")
     first = candidates.groupBy("digest", "chunk").agg(F.min(place).alias("first"))
-    first = first.withColumnRenamed("digest", "_d").withColumnRenamed("chunk", "_c")
-    copies = candidates.join(
-        first, (F.col("digest") == F.col("_d")) & (F.col("chunk") == F.col("_c"))
-    ).filter(~place.eqNullSafe(F.col("first")))
+    copies = join_grouped(candidates, first, ["digest", "chunk"]).filter(
+        ~place.eqNullSafe(F.col("first"))
+    )
     return copies.groupBy(KEY, "doc_id").agg(
         F.collect_set(F.struct(F.col("begin").alias("start"), "end")).alias("ranges")
     )

@@ -46,6 +46,22 @@ def join_by_row(left: DataFrame, right: DataFrame, how: str = "left") -> DataFra
     return joined.drop("_llm_doc", "_llm_k")
 
 
+def join_grouped(
+    left: DataFrame, grouped: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
+    """Join with a side that was grouped by the (non-null) ``keys``.
+
+    Joining on a hash of the keys as well makes both sides shuffle for the join
+    itself. Otherwise the grouping's own shuffle would serve, which adaptive
+    execution cannot split where one key holds many rows of ``left``.
+    """
+    spread = F.xxhash64(*keys)
+    joined = left.withColumn("_llm_spread", spread).join(
+        grouped.withColumn("_llm_spread", spread), [*keys, "_llm_spread"], how
+    )
+    return joined.drop("_llm_spread")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage."""
     path = fresh_path(df.sparkSession, f"llm-{name}")

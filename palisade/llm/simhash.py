@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.components import connected_components
-from palisade.llm.rows import by_bytes, small_or_not, stored
+from palisade.llm.rows import by_bytes, join_grouped, small_or_not, stored
 from palisade.llm.sequences import mix, window_hashes, word_bounds, word_hashes
 
 SHINGLE_WORDS = 3
@@ -299,7 +299,7 @@ def classes(signed: DataFrame, distance: int = DISTANCE, wide_distance: int = 0)
     nodes = stored(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
     member = stored(connected_components(links(nodes, distance, wide_distance)), "members")
     least = nodes.join(member, "node").groupBy("component").agg(F.min("_least").alias("_found"))
-    linked = member.join(least, "component").select("node", "_found")
+    linked = join_grouped(member, least, ["component"]).select("node", "_found")
     named = nodes.join(linked, "node", "left").select(
         "probes", "wide", F.coalesce("_found", "_least").alias("component_id")
     )
