@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.components import connected_components
-from palisade.llm.rows import by_bytes, join_grouped, small_or_not, stored
+from palisade.llm.rows import (
+    KEY, by_bytes, join_by_row, join_grouped, keyed, row_key, small_or_not, stored,
+)
 from palisade.llm.sequences import mix, window_hashes, word_bounds, word_hashes
 
 SHINGLE_WORDS = 3
@@ -71,6 +73,53 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fingerprint bigint")
 
 
+PROBES = 4  # fingerprints of a document's distinct words, by different hashes
+WIDE = 4  # 64-bit words of the fingerprint of five-word shingles
+SIMILAR_WORDS = 5
+# Expected distance of WIDE * 64 bits at a shingle similarity of 0.8: the angle
+# whose cosine is 2 * 0.8 / 1.8, as a share of pi.
+WIDE_DISTANCE = round(WIDE * 64 * float(np.arccos(1.6 / 1.8)) / np.pi)
+
+
+def signature(text: str) -> tuple[list[int], list[int]]:
+    """Probes and wide fingerprint of a text; all zero without words.
+
+    Few edits change few of the distinct words, so copies with edits share
+    near probes; which of them are similar, the shingles decide.
+    """
+    data = text.encode().lower()
+    words = word_hashes(data, *word_bounds(data))
+    if not len(words):
+        return [0] * PROBES, [0] * WIDE
+    shingles = np.unique(window_hashes(words, min(SIMILAR_WORDS, len(words))))
+
+    def prints(hashes: np.ndarray, n: int) -> list[int]:
+        return [
+            _majority(sum(_bit_counts(mix(hashes[i:i + _CHUNK] + np.uint64(k)))
+                          for i in range(0, len(hashes), _CHUNK)), len(hashes))
+            for k in range(1, n + 1)
+        ]
+
+    return prints(np.unique(words), PROBES), prints(shingles, WIDE)
+
+
+def signatures(rows: DataFrame) -> DataFrame:
+    """``_llm_key``, ``doc_id``, ``probes``, ``wide`` of keyed rows."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", _MOVED):
+            found = [signature(text) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1),
+                *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)),
+            ], [KEY, "doc_id", "probes", "wide"])
+
+    return rows.mapInArrow(
+        sign, f"{KEY} bigint, doc_id {kind}, probes array<bigint>, wide array<bigint>"
+    )
+
+
 # --- partition of the bits and thresholds -----------------------------------
 
 def group_bits(sample: np.ndarray, parts: int = PARTS) -> list[int]:
@@ -291,7 +340,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, wide_distance: int = 0) ->
 def classes(signed: DataFrame, distance: int = DISTANCE, wide_distance: int = 0) -> DataFrame:
     """``signed`` (``doc_id``, ``probes``, ``wide``, ...) with ``component_id``.
 
-    Rows with equal fingerprints are one node, so copies cost one row each.
+    ``component`` numbers the components within one run. Rows with equal fingerprints are one node, so copies cost one row each.
     ``component_id`` is the smallest ``doc_id`` reachable over links, null only
     if all ids of the component are null.
     """
@@ -300,8 +349,10 @@ def classes(signed: DataFrame, distance: int = DISTANCE, wide_distance: int = 0)
     member = stored(connected_components(links(nodes, distance, wide_distance)), "members")
     least = nodes.join(member, "node").groupBy("component").agg(F.min("_least").alias("_found"))
     linked = join_grouped(member, least, ["component"]).select("node", "_found")
-    named = nodes.join(linked, "node", "left").select(
-        "probes", "wide", F.coalesce("_found", "_least").alias("component_id")
+    roots = member.withColumnRenamed("component", "_root")
+    named = nodes.join(linked, "node", "left").join(roots, "node", "left").select(
+        "probes", "wide", F.coalesce("_found", "_least").alias("component_id"),
+        F.coalesce("_root", "node").alias("component"),
     )
     return signed.join(named, ["probes", "wide"])
 
@@ -323,3 +374,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return classes(signed, distance).select(
         "doc_id", hexed.alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without near-duplicates: of each group one row stays, all columns.
+
+    Documents are near if one of their ``PROBES`` word fingerprints differs in
+    at most ``DISTANCE`` bits and their five-word shingles have an estimated
+    similarity of 0.8 or more; groups are what that connects. The row with the
+    smallest ``doc_id`` stays (ties: by a hash of the text; a null id only if
+    the group has no other). Texts without words are one group; null texts
+    count as empty. Repeated rows are one document.
+    """
+    signed = stored(signatures(keyed(docs)), "signatures")
+    found = classes(signed, DISTANCE, WIDE_DISTANCE)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
+        "component"
+    ).agg(F.min(KEY).alias(KEY), F.first("doc_id").alias("doc_id")).select(KEY, "doc_id")
+    own = docs.withColumn(KEY, row_key())
+    return join_by_row(own, stays, "inner").dropDuplicates([KEY, "doc_id"]).select(*docs.columns)
