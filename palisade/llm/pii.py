@@ -266,11 +266,13 @@ def variants(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
             "card": ".".join(re.findall(r"[0-9]{1,4}", _digits(span))),
             "phone": re.sub(r"^\+[0-9]+[\x20-]?", "", span),
         }[kind]
-        line = text[max(0, start - 40):start] + changed + text[end:end + 40]
-        low = start - max(0, start - 40)
-        others = [s for s in spans if s[0] != start and start - 40 < s[1] and s[0] < end + 40]
-        if not others:
-            out.append((line, [(low, low + len(changed), kind)]))
+        moved = len(changed) - len(span)
+        others = [(a + moved, b + moved, k) if a >= end else (a, b, k)
+                  for a, b, k in spans if (a, b, k) != (start, end, kind)]
+        out.append((
+            text[:start] + changed + text[end:],
+            sorted([*others, (start, start + len(changed), kind)]),
+        ))
     return out
 
 
