@@ -10,7 +10,7 @@ import xxhash
 from palisade.llm import (
     components, debruijn, fm_index, lines, mixing, sequences, simhash, toxicity, winnowing,
 )
-from tests.llm import data
+from tests.llm import cases as data
 
 
 # --- hashes and the index

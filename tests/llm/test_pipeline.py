@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from palisade.llm import debruijn, mixing
-from tests.llm import data
+from tests.llm import cases as data
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from palisade.llm import chat, decontaminate, pii, tokens
-from tests.llm import data
+from tests.llm import cases as data
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
