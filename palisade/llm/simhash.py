@@ -22,7 +22,7 @@ SEED = 42
 DISTANCE = 3
 PARTS = 2  # keys of about 32 bits: few unrelated fingerprints share one, at any size
 SAMPLE = 2048  # fingerprints the partition and its thresholds are fitted on
-BLOCK = 128  # members of a key that are compared with one another in one group
+BLOCK = 256  # members of a key that are compared with one another in one group
 _CHUNK = 100_000  # shingles hashed at once
 _MOVED = 4_000_000  # bytes of text unpacked at once
 

@@ -179,7 +179,7 @@ def test_fingerprints_link_as_by_brute_force(spark):
     assert simhash.near_duplicates(data.empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("distance, block", [(3, 128), (3, 3), (1, 128), (4, 4)])
+@pytest.mark.parametrize("distance, block", [(3, 256), (3, 3), (1, 256), (4, 4)])
 def test_links_connect_all_near_fingerprints(spark, monkeypatch, distance, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(distance)
