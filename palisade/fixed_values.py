@@ -151,3 +151,6 @@ DATASET_COLUMNS = (
     "ground_truth", "fp_likelihood",
     "attack_type", "kill_chain_stage",
 )
+
+# Shown for a key that an assessor's answer lacks.
+NO_ANSWER = "—"

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.session import shared_folder
+from palisade.session import fresh_path
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
 def with_position(
     df: DataFrame, order: list[str], *, within: list[str] | None = None,
-    name: str = "position", total: str | None = None,
+    name: str = "position", total: str | None = None, at: str | None = None,
 ) -> DataFrame:
     """Number rows 1, 2, ... in ``order``, separately for each ``within`` value.
 
@@ -23,18 +23,22 @@ def with_position(
     group wherever needed; each row takes its offset inside its partition, and
     the only thing summed in sequence is one count per group and partition.
 
-    The sorted rows are checkpointed: positions are derived from where rows
-    lie, and that must stay the same if an executor is lost.
+    The sorted rows are written while this function runs: positions are
+    derived from where rows lie, and that must stay the same if an executor is
+    lost. They go to ``at``, which is overwritten and is the caller's to
+    remove, or else to a folder of their own below the shared folder.
     """
     group = list(within or [])
-    shared_folder(df.sparkSession)
-    running_id = F.monotonically_increasing_id()
-    placed = (
+    spark = df.sparkSession
+    path = at or fresh_path(spark, "numbered")
+    numbered = (
         df.repartitionByRange(*group, *order)
         .sortWithinPartitions(*group, *order)
-        .withColumn("_row", running_id)
-        .checkpoint()
-        .withColumn("_part", F.shiftright("_row", _ROW_BITS))
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    numbered.write.mode("overwrite").parquet(path)
+    placed = spark.read.schema(numbered.schema).parquet(path).withColumn(
+        "_part", F.shiftright("_row", _ROW_BITS)
     )
     pieces = placed.groupBy(*group, "_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first")

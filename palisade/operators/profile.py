@@ -44,19 +44,19 @@ def without_profile(attackers: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def attack_sequence(
-    alerts: DataFrame, *, minimum: int = fixed.MIN_REPEAT_HACKS
+    alerts: DataFrame, *, minimum: int = fixed.MIN_REPEAT_HACKS, at: str | None = None
 ) -> DataFrame:
     """Every hack alert of a repeat attacker with its place in the sequence.
 
     One row per alert: ``src_ip``, ``position`` (1 is the oldest),
-    ``attack_type`` (``unknown`` if empty).
+    ``attack_type`` (``unknown`` if empty). ``at`` as for :func:`with_position`.
     """
     hacks = alerts.filter(_is_hack()).select(
         "src_ip", *TIME_ORDER,
         F.coalesce(F.nullif("attack_type", F.lit("")), F.lit("unknown")).alias("attack_type"),
     )
     numbered = with_position(
-        hacks, list(TIME_ORDER), within=["src_ip"], total="hacks"
+        hacks, list(TIME_ORDER), within=["src_ip"], total="hacks", at=at
     )
     return numbered.filter(F.col("hacks") >= minimum).select(
         "src_ip", "position", "attack_type"

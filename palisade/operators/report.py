@@ -15,7 +15,10 @@ from palisade.schemas import RECENT_COLUMNS
 
 
 def newest_alerts(alerts: DataFrame, limit: int | None = fixed.NEWEST_ROWS) -> DataFrame:
-    """The ``limit`` newest alerts, newest first; ``None`` keeps all, unsorted."""
+    """The ``limit`` newest alerts, newest first.
+
+    ``None`` keeps all as they are: figures over all alerts need no order.
+    """
     if limit is None:
         return alerts
     return alerts.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
@@ -28,14 +31,15 @@ def newest_stored_alerts(
 
     The age of the oldest row wanted is found from one column first. As a
     filter it reaches the scan, where the row-group ranges of ``created_at``
-    rule out nearly everything before the wide columns are read. Needs
-    ``created_at`` set on every row, as the stored table has it.
+    rule out nearly everything before the wide columns are read. Rows without
+    ``created_at`` are the oldest.
     """
     oldest = (
         alerts.select("created_at").orderBy(F.desc("created_at")).limit(limit)
         .agg(F.min("created_at"))
     ).scalar()
-    return newest_alerts(alerts.filter(F.col("created_at") >= oldest), limit)
+    recent = (F.col("created_at") >= oldest) | F.col("created_at").isNull()
+    return newest_alerts(alerts.filter(recent), limit)
 
 
 def recent_listing(alerts: DataFrame, limit: int = fixed.NEWEST_ROWS) -> DataFrame:
@@ -109,8 +113,9 @@ def fp_suppression(alerts: DataFrame) -> DataFrame:
 
 
 def verdict_counts(alerts: DataFrame) -> DataFrame:
+    """Counts per verdict; alerts without one are not counted."""
     return (
-        alerts.groupBy("llm_classification")
+        alerts.filter(F.col("llm_classification").isNotNull()).groupBy("llm_classification")
         .agg(F.count(F.lit(1)).alias("alerts"))
         .orderBy(F.desc("alerts"), "llm_classification")
     )
@@ -187,10 +192,22 @@ def risk_timeline(alerts: DataFrame) -> DataFrame:
 # --- feed ------------------------------------------------------------------------
 
 
-def alert_feed(alerts: DataFrame, limit: int = fixed.FEED_ROWS) -> DataFrame:
-    """Display columns of the newest alerts: summary line plus detail panel."""
+def feed_count(alerts: DataFrame) -> DataFrame:
+    """One row: how many alerts the feed's filters let through, before its limit."""
+    return alerts.agg(F.count(F.lit(1)).alias("alerts"))
+
+
+def alert_feed(alerts: DataFrame, limit: int | None = fixed.FEED_ROWS) -> DataFrame:
+    """Display columns of the newest alerts: summary line plus detail panel.
+
+    Newest first, also without a limit.
+    """
     risk, likelihood = F.col("risk_score"), F.col("false_positive_likelihood")
-    return newest_alerts(alerts, limit).select(
+    if limit is None:
+        newest = alerts.orderBy(F.desc("created_at"), F.desc("id"))
+    else:
+        newest = newest_alerts(alerts, limit)
+    return newest.select(
         "id",
         F.substring("timestamp", 1, 19).alias("time"),
         bands.shortened(F.col("signature"), 48).alias("signature"),
@@ -219,10 +236,12 @@ def accuracy_report(
     """Per expected signature: alerts, correct verdicts, percent, status.
 
     The signatures reach the scan as a filter, and alerts are counted before
-    the join; signatures without alerts stay with zeros.
+    the join; signatures without alerts stay with zeros. Rows come in the
+    order of the list.
     """
     table = alerts.sparkSession.createDataFrame(
-        list(expected), "signature string, expected string"
+        [(i, *pair) for i, pair in enumerate(expected)],
+        "place int, signature string, expected string",
     )
     counts = (
         alerts.filter(F.col("signature").isin(*(signature for signature, _ in expected)))
@@ -232,13 +251,15 @@ def accuracy_report(
     correct = F.col("llm_classification") == F.col("expected")
     return (
         table.join(counts, "signature", "left")
-        .groupBy("signature", "expected")
+        .groupBy("place", "signature", "expected")
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("alerts"),
             F.coalesce(F.sum(F.when(correct, F.col("n"))), F.lit(0)).alias("correct"),
         )
         .withColumn("accuracy", bands.percent(F.col("correct"), F.col("alerts")))
         .withColumn("status", bands.accuracy_status(F.col("accuracy")))
+        .orderBy("place")
+        .drop("place")
     )
 
 

@@ -6,7 +6,10 @@ that runs inside the tasks, or fall back on rules written as columns.
 A batch function returns one mapping per row (a list of dicts), or a pandas
 frame with one row per input row. A key that is missing takes its default, a
 key that is present with null stays null. If a call fails, the batch is halved
-until the rows that cannot be scored are found; only those get the fallback.
+until the rows that cannot be scored are found; only those get the fallback. A
+function that raises :class:`ScorerUnavailable` gives the whole batch the
+fallback in that one call. Rows with a fallback are added to an accumulator, if
+one is given.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +27,10 @@ from palisade import fixed_values as fixed
 from palisade.functions import assessment, labels
 from palisade.schemas import ASSESSMENT, VERDICT
 
+class ScorerUnavailable(Exception):
+    """Raised by a batch function whose service is down: no row is to blame."""
+
+
 BatchFunction = Callable[[pd.DataFrame], "pd.DataFrame | Iterable[Mapping[str, Any]]"]
 
 
@@ -33,6 +41,7 @@ def _apply_batches(
     defaults: Mapping[str, Any],
     fallback: Mapping[str, Any],
     batch_rows: int,
+    fallbacks: Accumulator | None = None,
 ) -> DataFrame:
     """Run ``function`` over Arrow batches; ``fields`` maps answer key to column.
 
@@ -40,6 +49,8 @@ def _apply_batches(
     installed on the executors.
     """
 
+    down = ScorerUnavailable.__name__
+
     def answers_for(batch: pd.DataFrame) -> list[Mapping[str, Any]]:
         if batch.empty:
             return []
@@ -51,9 +62,12 @@ def _apply_batches(
             if len(result) != len(batch):
                 raise ValueError("one answer per row expected")
             return result
-        except Exception:
-            if len(batch) == 1:
-                return [fallback]
+        except Exception as error:
+            # by name: the class may have travelled with the function
+            if len(batch) == 1 or type(error).__name__ == down:
+                if fallbacks is not None:
+                    fallbacks.add(len(batch))
+                return [fallback] * len(batch)
             middle = len(batch) // 2
             return answers_for(batch.iloc[:middle]) + answers_for(batch.iloc[middle:])
 
@@ -126,14 +140,15 @@ def rule_verdict(alerts: DataFrame) -> DataFrame:
 
 
 def score_alerts(
-    alerts: DataFrame, scorer: BatchFunction | None = None, *, batch_rows: int = 1024
+    alerts: DataFrame, scorer: BatchFunction | None = None, *, batch_rows: int = 1024,
+    fallbacks: Accumulator | None = None,
 ) -> DataFrame:
     """Alerts with the five verdict columns."""
     if scorer is None:
         return rule_verdict(alerts)
     return _apply_batches(
         alerts, scorer, _VERDICT_KEYS,
-        fixed.VERDICT_DEFAULTS, fixed.VERDICT_FALLBACK, batch_rows,
+        fixed.VERDICT_DEFAULTS, fixed.VERDICT_FALLBACK, batch_rows, fallbacks,
     )
 
 
@@ -188,3 +203,55 @@ def assess_profiles(
 
 
 _FAILED = "\u0000failed"
+
+
+# --- assessments shown with an attacker ------------------------------------------
+
+_CARD_KEYS = [
+    ("methodology", T.StructField("methodology", T.StringType())),
+    ("objective", T.StructField("objective", T.StringType())),
+    ("skill_level", T.StructField("skill_level", T.StringType())),
+    ("response", T.StructField("response", T.StringType())),
+    ("threat_level", T.StructField("assessed_threat_level", T.StringType())),
+]
+
+
+def assess_cards(
+    profiles: DataFrame, assessor: BatchFunction | None = None, *, batch_rows: int = 64
+) -> DataFrame:
+    """Profiles with methodology, objective, skill level, response and threat level.
+
+    A key the assessor leaves out shows a dash; skill is upper-cased. Where it
+    fails, and without one, rules decide and methodology is null. ``assessed``
+    tells which rows an assessor answered for.
+    """
+    steps = F.col("kill_chain")
+    rules = {
+        "objective": assessment.rule_objective(steps),
+        "skill_level": assessment.rule_skill(steps),
+        "response": assessment.rule_response(F.col("src_ip")),
+    }
+    if assessor is None:
+        return profiles.withColumns({
+            "methodology": F.lit(None).cast("string"), **rules,
+            "assessed_threat_level": F.lit(None).cast("string"), "assessed": F.lit(False),
+        })
+    answered = _apply_batches(
+        profiles, assessor, _CARD_KEYS,
+        {**{key: fixed.NO_ANSWER for key, _ in _CARD_KEYS}, "threat_level": None},
+        {key: _FAILED for key, _ in _CARD_KEYS}, batch_rows,
+    ).withColumn("assessed", ~F.col("methodology").eqNullSafe(_FAILED))
+
+    def shown(name: str, given: Column, rule: Column | None = None) -> Column:
+        other = F.lit(None).cast("string") if rule is None else rule
+        return F.when(F.col("assessed"), given).otherwise(other).alias(name)
+
+    names = [field.name for _, field in _CARD_KEYS]
+    kept = [c for c in answered.columns if c not in names]
+    return answered.select(
+        *kept, shown("methodology", F.col("methodology")),
+        shown("objective", F.col("objective"), rules["objective"]),
+        shown("skill_level", F.upper("skill_level"), rules["skill_level"]),
+        shown("response", F.col("response"), rules["response"]),
+        shown("assessed_threat_level", F.col("assessed_threat_level")),
+    )

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fixed
-from palisade.operators import profile, report
-
-# Addresses are short texts: this many stay far below the broadcast limit.
-MAX_BROADCAST_ROWS = 100_000
+from palisade.operators import profile, report, score
 
 
 def attackers_in(population: DataFrame) -> DataFrame:
@@ -27,40 +24,85 @@ def current_profiles(
 ) -> DataFrame:
     """Profiles, over the whole table, of the attackers in the population.
 
-    A limited population has at most ``population_limit`` rows, so its
-    attackers are broadcast and the table is filtered where it is read.
-    Without a limit every attacker qualifies and no join is needed.
+    With all alerts as the population every attacker qualifies and no join is
+    needed; how to join is the optimizer's choice otherwise.
     """
     if population_limit is None:
         return profile.attacker_profile(alerts)
-    seen = attackers_in(population)
-    if population_limit <= MAX_BROADCAST_ROWS:
-        seen = F.broadcast(seen)
-    return profile.attacker_profile(alerts, seen)
+    return profile.attacker_profile(alerts, attackers_in(population))
+
+
+def attacker_cards(
+    alerts: DataFrame,
+    profiles: DataFrame,
+    assessor: score.BatchFunction | None = None,
+) -> DataFrame:
+    """Display texts of the profiles, the sources' operating systems, assessments."""
+    sources = profiles.select("src_ip")
+    systems = profile.attacker_os(alerts.join(sources, "src_ip", "left_semi"))
+    assessed = score.assess_cards(profiles, assessor).select(
+        "src_ip", "methodology", "objective", "skill_level", "response",
+        "assessed_threat_level", "assessed",
+    )
+    cards = profile.profile_card(profiles).drop("objective", "skill_level", "response")
+    return cards.join(systems, "src_ip", "left").join(assessed, "src_ip", "left")
+
+
+class AnalystView(dict):
+    """Tables of one refresh by name, all lazy, over one cached population.
+
+    Use it as a context manager, or call :meth:`close` when the refresh is
+    over: only then is the population released. Opening the next refresh never
+    reuses it, so rows that other writers added in the meantime are seen.
+    """
+
+    def __init__(self, population: DataFrame, tables: dict[str, DataFrame]) -> None:
+        super().__init__(tables)
+        self._population = population
+
+    def close(self) -> None:
+        self._population.unpersist()
+
+    def __enter__(self) -> AnalystView:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def analyst_view(
-    alerts: DataFrame, *, population_limit: int | None = fixed.NEWEST_ROWS, **filters
-) -> dict[str, DataFrame]:
-    """Every table of the view by name, all lazy.
+    alerts: DataFrame,
+    *,
+    population_limit: int | None = fixed.NEWEST_ROWS,
+    assessor: score.BatchFunction | None = None,
+    **filters,
+) -> AnalystView:
+    """Every table of the view by name.
 
-    Figures and reports cover the newest alerts and ignore the filters; only
-    the feed is filtered. A limited population is cached, so the table is
-    searched for its newest rows once per refresh.
+    Read ``alerts`` anew for each refresh. Figures and reports cover the newest
+    alerts and ignore the filters; only the feed is filtered. A limited
+    population is found through the age of its oldest row and cached, so the
+    table is searched once per refresh. ``assessor`` answers for attackers in
+    place of the rules (see :func:`palisade.operators.score.assess_cards`).
     """
-    population = report.newest_alerts(alerts, population_limit)
-    if population_limit is not None:
-        population = population.cache()
+    if population_limit is None:
+        population = alerts
+    else:
+        population = report.newest_stored_alerts(alerts, population_limit)
+        # an equal plan of an earlier refresh would bring its rows back
+        population = population.unpersist(blocking=True).cache()
     accuracy = report.accuracy_report(population)
     profiles = current_profiles(alerts, population, population_limit)
-    return {
+    feed = report.filter_alerts(population, **filters)
+    return AnalystView(population, {
         "kpis": report.kpis(population),
         "verdict_counts": report.verdict_counts(population),
         "attack_type_counts": report.attack_type_counts(population),
         "risk_timeline": report.risk_timeline(population),
-        "attackers": profile.profile_card(profiles),
+        "attackers": attacker_cards(alerts, profiles, assessor),
         "fp_suppression": report.fp_suppression(population),
-        "alert_feed": report.alert_feed(report.filter_alerts(population, **filters)),
+        "feed_count": report.feed_count(feed),
+        "alert_feed": report.alert_feed(feed),
         "accuracy_report": accuracy,
         "accuracy_overall": report.accuracy_overall(accuracy),
-    }
+    })

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from palisade.schemas import SOURCE_ORDER
 
+MAX_FILES_PER_TRIGGER = 1000
+# Spark's own default of seven days would drop files that keep an old date.
+MAX_FILE_AGE = "36500d"
+
 
 def read_lines(spark: SparkSession, path: str, *, rank: int = 0) -> DataFrame:
     """``value`` and ``source_order`` for every line below ``path``.
@@ -46,12 +50,27 @@ def newest_lines(lines: DataFrame, limit: int) -> DataFrame:
 
 
 def stream_lines(
-    spark: SparkSession, path: str, *, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    *,
+    max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
+    max_file_age: str = MAX_FILE_AGE,
+    archive: str | None = None,
 ) -> DataFrame:
-    """Lines of the files landing in a folder. Each file is read once."""
-    reader = spark.readStream
+    """Lines of the files landing in a folder. Each file is read once.
+
+    A batch takes ``max_files_per_trigger`` files (``None``: all there are),
+    so that a backlog is worked off in batches of bounded size. Files whose
+    date lies further than ``max_file_age`` before that of the newest one are
+    left out; the default is meant to leave out none. With ``archive``, files
+    that were worked off move to that folder, which keeps the list of files
+    to remember, and to list, short.
+    """
+    reader = spark.readStream.option("maxFileAge", max_file_age)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.text(path)
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CSV_ROWS = 500_000
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The Parquet table at ``path``, or an empty one if nothing is there yet."""
     try:
@@ -24,13 +27,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     """Replace ``path`` with CSV files, header included, row order kept.
 
     Quotes inside a value are doubled, as CSV readers outside Spark expect.
+    Values may hold line breaks, so a reader cannot split a file: each holds
+    at most ``CSV_ROWS`` rows.
     """
-    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    df.write.mode("overwrite").options(
+        header=True, escape='"', maxRecordsPerFile=CSV_ROWS
+    ).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).options(
-        header=True, escape='"', enforceSchema=False
+        header=True, escape='"', enforceSchema=False, multiLine=True
     ).csv(path)
 
 
@@ -49,21 +56,23 @@ def write_dataset(df: DataFrame, path: str) -> None:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Append the rows of one batch; writing the same batch again replaces it."""
-    (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    """Append the rows of one batch; writing the same batch again replaces it.
+
+    The batch's own folder is overwritten, so a repeat run without rows also
+    clears what the first run left.
+    """
+    df.write.mode("overwrite").parquet(batch_path(path, batch_id))
+
+
+def batch_path(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
 
 
 def read_batch(
     spark: SparkSession, path: str, schema: T.StructType, batch_id: int
 ) -> DataFrame:
     """The rows of one batch; only its own folder is listed."""
-    return read_table(spark, f"{path.rstrip('/')}/batch_id={batch_id}", schema)
+    return read_table(spark, batch_path(path, batch_id), schema)
 
 
 def with_batch_id(schema: T.StructType) -> T.StructType:

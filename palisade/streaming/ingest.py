@@ -29,8 +29,10 @@ from palisade.sources.tables import (
 
 POLL_INTERVAL = "10 seconds"
 
-# id = batch_id * IDS_PER_BATCH + position in the batch
-IDS_PER_BATCH = 1 << 36
+# Steps of a source's attack sequence that an assessor is given.
+SEQUENCE_STEPS = 10_000
+
+IDS = T.StructType([T.StructField("last_id", T.LongType())])
 
 FACTS = T.StructType([
     T.StructField("src_ip", T.StringType()),
@@ -54,11 +56,13 @@ class Tables:
     profiles: str
     staging: str
     checkpoint: str
+    ids: str
 
     @classmethod
     def below(cls, root: str) -> Tables:
         return cls(*(f"{root.rstrip('/')}/{name}" for name in (
-            "alerts", "attacker_facts", "attacker_profiles", "staging", "checkpoint")))
+            "alerts", "attacker_facts", "attacker_profiles", "staging", "checkpoint",
+            "last_ids")))
 
 
 def distinct_lines(lines: DataFrame, *, salts: int = 16) -> DataFrame:
@@ -91,13 +95,17 @@ def parsed_stream(lines: DataFrame) -> DataFrame:
     return alerts.withColumn("created_at", F.current_timestamp())
 
 
-def _numbered(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Ids in log-time order; overflow into the next batch's range is an error."""
-    placed = with_position(batch, ["timestamp", "line_hash"])
-    position = F.when(F.col("position") < IDS_PER_BATCH, F.col("position")).otherwise(
-        F.raise_error(F.lit("micro-batch too large for its id range")).cast("bigint")
+def _numbered(batch: DataFrame, batch_id: int, tables: Tables) -> DataFrame:
+    """Ids in log-time order, running on from the last id of the earlier batches."""
+    spark = batch.sparkSession
+    earlier = read_table(spark, tables.ids, with_batch_id(IDS))
+    last = earlier.filter(F.col("batch_id") < batch_id).agg(
+        F.coalesce(F.max("last_id"), F.lit(0).cast("bigint"))
+    ).first()[0]
+    placed = with_position(
+        batch, ["timestamp", "line_hash"], at=f"{tables.staging}-numbered"
     )
-    return placed.withColumn("id", position + F.lit(batch_id * IDS_PER_BATCH))
+    return placed.withColumn("id", F.col("position") + F.lit(last))
 
 
 def store_batch(
@@ -112,7 +120,7 @@ def store_batch(
 
     ``ttl`` holds the TTL per source; without it every alert gets 0.
     """
-    alerts = _numbered(batch, batch_id)
+    alerts = _numbered(batch, batch_id, tables)
     if ttl is None:
         alerts = alerts.withColumn("ttl", F.lit(0).cast("bigint"))
     else:
@@ -122,7 +130,9 @@ def store_batch(
         scored.select(*(F.col(f.name).cast(f.dataType) for f in ALERTS.fields)),
         tables.alerts, batch_id,
     )
-    return read_batch(batch.sparkSession, tables.alerts, ALERTS, batch_id)
+    stored = read_batch(batch.sparkSession, tables.alerts, ALERTS, batch_id)
+    write_batch(stored.agg(F.max("id").alias("last_id")), tables.ids, batch_id)
+    return stored
 
 
 def profile_batch(
@@ -132,7 +142,8 @@ def profile_batch(
     """Profile the attackers that this batch made repeat attackers.
 
     Only a source with a hack in this batch can newly reach the minimum, so
-    the batch decides whom to look at, and their history comes from the facts
+    the batch decides whom to look at. An assessor also gets ``attack_sequence``,
+    the ordered attacks up to this batch. Their history comes from the facts
     of all batches (a few rows per source) instead of from all alerts. A
     profile is written once and never refreshed; rows of this very batch are
     ignored when looking for existing profiles, so a repeat run rewrites them.
@@ -153,6 +164,11 @@ def profile_batch(
         candidates, "src_ip", "left_semi"
     )
     due = profile.profile_facts(history).join(candidates, "src_ip")
+    if assessor is not None:
+        due = due.join(
+            _sequences(stored, facts.filter(F.col("batch_id") < batch_id), due, tables),
+            "src_ip", "left",
+        )
     rows = (
         assess_profiles(due, assessor)
         .withColumn("time_span", profile.time_span(F.col("first_seen"), F.col("last_seen")))
@@ -165,6 +181,29 @@ def profile_batch(
     )
 
 
+def _sequences(
+    stored: DataFrame, earlier: DataFrame, due: DataFrame, tables: Tables
+) -> DataFrame:
+    """``attack_sequence`` of the sources in ``due``: its first ``SEQUENCE_STEPS`` steps.
+
+    A source is profiled as soon as it has enough hacks, so one that is due
+    now had fewer before: at most one, by its facts, and the rest in this batch.
+    """
+    sources = due.select("src_ip")
+    before = earlier.filter(F.col("hacks") > 0).select(
+        "src_ip", F.lit("hack").alias("llm_classification"), "attack_type",
+        F.col("first_hack").alias("created_at"), F.lit(0).cast("bigint").alias("id"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("hacks"))).alias("_n"),
+    ).drop("_n")
+    now = stored.select(*before.columns)
+    hacks = before.unionByName(now).join(sources, "src_ip", "left_semi")
+    sequence = profile.attack_sequence(hacks, at=f"{tables.staging}-sequence")
+    text = profile.sequence_text(
+        sequence.filter(F.col("position") <= SEQUENCE_STEPS), steps_per_row=SEQUENCE_STEPS
+    )
+    return text.select("src_ip", "attack_sequence")
+
+
 def start_ingest(
     lines: DataFrame,
     tables: Tables,

@@ -12,11 +12,11 @@ from palisade.sources.lines import read_lines, read_lines_if_present
 def test_archive_line_groups(spark):
     row = parse_alert_lines(lines_frame(spark, [LINE]), interface="LAN").first()
     assert row.asDict() == {
-        "timestamp": "05/29/2026-08:29:12.002018", "sig_id": "9000010",
+        "timestamp": "03/14/2027-21:07:45.310992", "sig_id": "9000777",
         "signature": "NMAP SYN Scan Detected",
-        "alert_category": "Attempted Information Leak", "priority": 2,
-        "protocol": "TCP", "src_ip": "192.168.10.2", "src_port": 34458,
-        "dst_ip": "192.168.1.100", "dst_port": 8080, "interface": "LAN",
+        "alert_category": "Probe Of Open Services", "priority": 2,
+        "protocol": "TCP", "src_ip": "172.20.4.9", "src_port": 51311,
+        "dst_ip": "172.20.8.30", "dst_port": 8080, "interface": "LAN",
         "source_order": (0, "f", 0, 0),
     }
 
@@ -30,11 +30,11 @@ def test_archive_line_groups(spark):
         (LINE + " trailing", True, True),
         (LINE.replace("[**] [Class", "[**] [Extra: x] [Class"), True, False),
         (LINE.replace("[Priority: 2] ", ""), False, False),
-        (LINE.replace("192.168.10.2:34458", "fe80::1:34458"), False, False),
-        (LINE.replace(":34458", ""), False, False),
+        (LINE.replace("172.20.4.9:51311", "fe80::1:51311"), False, False),
+        (LINE.replace(":51311", ""), False, False),
         (LINE.replace("{TCP}", "{IPv6-ICMP}"), False, True),
-        (LINE.replace("[1:9000010:1]", "[rule]"), False, True),
-        (LINE.replace("05/29/2026-08:29:12.002018", "yesterday"), False, True),
+        (LINE.replace("[1:9000777:1]", "[rule]"), False, True),
+        (LINE.replace("03/14/2027-21:07:45.310992", "yesterday"), False, True),
         ("", False, False),
         ("   ", False, False),
     ],
@@ -67,9 +67,9 @@ def test_number_too_large_becomes_null(spark):
 
 
 def test_event_time(spark):
-    frame = spark.createDataFrame([("05/29/2026-08:29:12.002018",), ("junk",)], "t string")
+    frame = spark.createDataFrame([("03/14/2027-21:07:45.310992",), ("junk",)], "t string")
     got = [r[0] for r in frame.select(event_time(F.col("t"))).collect()]
-    assert got == [datetime(2026, 5, 29, 8, 29, 12, 2018), None]
+    assert got == [datetime(2027, 3, 14, 21, 7, 45, 310992), None]
 
 
 def test_regex_runs_once_per_line(spark):

@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 from data import alerts_frame, shuffled
 from palisade import schemas
-from palisade.operators import report
+from palisade.operators import profile, report
+from palisade.plans import analytics
 from palisade.plans.analytics import analyst_view
 from palisade.sources import tables
 
@@ -109,7 +110,7 @@ def test_view_has_every_table(spark):
     counts = {name: frame.count() for name, frame in view.items()}
     assert counts == {
         "kpis": 1, "verdict_counts": 1, "attack_type_counts": 1, "risk_timeline": 3,
-        "attackers": 1, "fp_suppression": 1, "alert_feed": 0, "accuracy_report": 8,
+        "attackers": 1, "fp_suppression": 1, "feed_count": 1, "alert_feed": 0, "accuracy_report": 8,
         "accuracy_overall": 1}
     whole = analyst_view(alerts_frame(spark, [{}] * 600), population_limit=None)
     assert whole["kpis"].first()["total"] == 600
@@ -148,10 +149,37 @@ def test_cleared_table(spark, tmp_path):
     assert tables.read_table(spark, path, schemas.ALERTS).count() == 0
 
 
-@pytest.mark.parametrize("text", ['plain', 'a "quoted", b', "back\\slash", ""])
+@pytest.mark.parametrize("text", ['plain', 'a "quoted", b', "back\\slash", "", "a\nb", "a\r\nb", "a\rb"])
 def test_csv_values_survive(spark, tmp_path, text):
     frame = spark.createDataFrame([(1, text)], "n bigint, s string")
     path = str(tmp_path / "csv")
     tables.write_csv(frame, path)
     back = tables.read_csv(spark, path, frame.schema).first()
     assert (back["s"] or "") == text
+
+
+def test_a_refresh_sees_what_other_writers_added(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    alerts_frame(spark, [{}] * 3).write.parquet(path)
+    with analytics.analyst_view(spark.read.parquet(path)) as first:
+        assert first["kpis"].first()["total"] == 3
+    again = analytics.analyst_view(spark.read.parquet(path))
+    assert again["kpis"].first()["total"] == 3
+    alerts_frame(spark, [{}] * 3).write.mode("append").parquet(path)
+    view = analytics.analyst_view(spark.read.parquet(path))  # the one before is still open
+    assert view["kpis"].first()["total"] == 6
+    assert view["feed_count"].first()["alerts"] == 6
+    card = view["attackers"].first()
+    assert (card["os"], card["assessed"]) == (profile.attacker_os(spark.read.parquet(path)).first()["os"], False)
+    again.close()
+    view.close()
+
+
+def test_feed_without_limit_is_newest_first(spark):
+    alerts = alerts_frame(spark, [{}] * 5)
+    assert [r["id"] for r in report.alert_feed(alerts, None).collect()] == [4, 3, 2, 1, 0]
+
+
+def test_null_verdicts_are_not_counted(spark):
+    alerts = alerts_frame(spark, [{}, {"llm_classification": None}])
+    assert [tuple(r) for r in report.verdict_counts(alerts).collect()] == [("hack", 1)]

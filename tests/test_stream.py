@@ -161,3 +161,58 @@ def test_live_and_stored_profiles_agree(feed, spark, rows):
     expected = rows(score.assess_profiles(facts), "src_ip", "attack_count", "ports_targeted", "objective")
     stored = ingest.stored_profiles(spark, feed.tables)
     assert rows(stored, "src_ip", "attack_count", "ports_targeted", "objective") == expected
+
+
+def test_files_with_old_dates_are_stored(feed):
+    feed.land(line(1))
+    feed.run()
+    feed.land(line(2), line(3))
+    old = feed.folder / f"{feed.files:03}.log"
+    os.utime(old, (1_700_000_000 - 30 * 86_400,) * 2)
+    feed.run()
+    feed.land(line(4))
+    feed.run()
+    assert feed.alerts().count() == 4
+
+
+def test_ids_run_on_over_batches(feed):
+    for n in range(3):
+        feed.land(line(2 * n), line(2 * n + 1))
+    feed.run(one_file_per_batch=True)
+    assert sorted(r[0] for r in feed.alerts().select("id").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_rerun_without_rows_clears_the_batch(spark, tmp_path):
+    path = str(tmp_path / "batches")
+    tables.write_batch(spark.range(3), path, 7)
+    tables.write_batch(spark.range(2), path, 8)
+    tables.write_batch(spark.range(0), path, 7)
+    schema = tables.with_batch_id(spark.range(0).schema)
+    assert {r["batch_id"] for r in tables.read_table(spark, path, schema).collect()} == {8}
+
+
+def test_an_outage_costs_one_call(spark):
+    calls, fallbacks = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def down(batch):
+        calls.add(1)
+        raise score.ScorerUnavailable
+
+    alerts = parse_alert_lines(
+        spark.createDataFrame([(line(n),) for n in range(256)], "value string").coalesce(1),
+        grammar="live",
+    )
+    scored = score.score_alerts(alerts, down, fallbacks=fallbacks).collect()
+    assert len(scored) == 256 and calls.value == 1 and fallbacks.value == 256
+
+
+def test_assessor_gets_the_sequence_over_batches(feed):
+    feed.land(line(1), line(2, signature="FTP Brute Force Attempt", ip="10.0.0.2"))
+    feed.land(line(3, signature="Slowloris DoS Attack"), line(4, signature="NMAP SYN Scan Detected"))
+    feed.run(
+        one_file_per_batch=True,
+        assessor=lambda batch: [{"methodology": s} for s in batch["attack_sequence"]],
+    )
+    assert {k: v["methodology"] for k, v in feed.profiles().items()} == {
+        "10.0.0.1": "port_scan → dos → port_scan"
+    }

@@ -6,8 +6,6 @@ every query grows with that table.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,24 +36,10 @@ def _pick(values, index: Column) -> Column:
     return F.array(*(F.lit(v) for v in values))[index.cast("int")]
 
 
-@lru_cache
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return _with_fields(table)
-
-
-@lru_cache
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`events` over all cores, for queries that render and parse text.
-
-    A file with fewer splits than cores would leave most of them idle; with
-    enough splits nothing is moved.
-    """
+    """The events with the fields of alerts, spread over all cores."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        table = table.repartition(cores)
-    return _with_fields(table)
+    return _with_fields(table.repartition(spark.sparkContext.defaultParallelism))
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +50,16 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fields(table)
 
 
+def events_stream_of_files(
+    spark: SparkSession, sf_dir: str, folder: str, files: int
+) -> DataFrame:
+    """The same stream from several files below ``folder``, one file per micro-batch."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table.repartition(files).write.parquet(folder)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    return _with_fields(stream.parquet(folder))
+
+
 def _with_fields(table: DataFrame) -> DataFrame:
     number = F.get_json_object("props", "$.k").try_cast("bigint")
     with_k = table.select("event_id", "ts", "user_id", "value", number.alias("k"))
@@ -123,7 +117,11 @@ def alert_lines(events: DataFrame) -> DataFrame:
 
 
 def flow_lines(events: DataFrame) -> DataFrame:
-    """``value``, ``source_order``: one JSON record for every third event."""
+    """``value``, ``source_order``: one JSON record for every event.
+
+    Two in three go to addresses that no alert names, so alerts of those
+    events find no flow of their own.
+    """
     event_id, k = F.col("event_id"), F.col("k")
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'"
     is_alert = event_id % 30 != 0
@@ -132,11 +130,14 @@ def flow_lines(events: DataFrame) -> DataFrame:
         F.date_format("ts", iso).alias("timestamp"),
         event_id.alias("flow_id"),
         F.when(is_alert, F.lit("alert")).otherwise(F.lit("flow")).alias("event_type"),
-        "src_ip", "src_port", F.col("dst_ip").alias("dest_ip"),
+        "src_ip", "src_port",
+        F.when(event_id % 3 == 0, F.col("dst_ip"))
+        .otherwise(F.concat(F.lit("192.168.9."), event_id % 8)).alias("dest_ip"),
         F.col("dst_port").alias("dest_port"), F.col("protocol").alias("proto"),
         F.when(k % 4 != 0, F.lit("http")).alias("app_proto"),
         F.when(k % 2 == 0, F.lit("to_server")).otherwise(F.lit("to_client")).alias("direction"),
-        F.when(event_id % 7 == 0, F.concat(F.lit("payload "), event_id)).alias("payload_printable"),
+        F.when(event_id % 21 == 0, F.concat(F.lit("payload\r\nsecond\nthird\r"), event_id))
+        .when(event_id % 7 == 0, F.concat(F.lit("payload "), event_id)).alias("payload_printable"),
         _pick(TTLS, k % 6).alias("ttl"),
         F.when(is_alert, F.struct(F.col("rule_id").alias("signature_id"))).alias("alert"),
         F.struct(
@@ -155,7 +156,7 @@ def flow_lines(events: DataFrame) -> DataFrame:
     text = F.to_json(record)
     cut = F.when(event_id % 90 == 0, F.substring(text, 1, 40)).otherwise(text)
     rank = F.when(event_id % 2 == 0, F.lit(1)).otherwise(F.lit(0))
-    return events.filter(event_id % 3 == 0).select(
+    return events.select(
         cut.alias("value"), _order(rank, event_id).alias("source_order")
     )
 
@@ -167,7 +168,7 @@ def stored_alerts(events: DataFrame) -> DataFrame:
     columns = {
         "id": event_id,
         "classification_suricata": F.col("category"),
-        "llm_classification": F.when(k == 99, F.lit("error"))
+        "llm_classification": F.when(k == 98, F.lit(None)).when(k == 99, F.lit("error"))
         .when(F.col("value") >= 150, F.lit("hack")).otherwise(F.lit("normal")),
         "attack_type": attack,
         "explanation": F.concat(F.lit("Event "), event_id, F.lit(" looks like "), attack),

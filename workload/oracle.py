@@ -98,11 +98,15 @@ _CTES = {
                 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+0000'),
                 'flow_id', event_id,
                 'event_type', CASE WHEN event_id % 30 != 0 THEN 'alert' ELSE 'flow' END,
-                'src_ip', src_ip, 'src_port', src_port, 'dest_ip', dst_ip,
+                'src_ip', src_ip, 'src_port', src_port, 'dest_ip',
+                CASE WHEN event_id % 3 = 0 THEN dst_ip ELSE '192.168.9.' || (event_id % 8) END,
                 'dest_port', dst_port, 'proto', protocol,
                 'app_proto', CASE WHEN k % 4 != 0 THEN 'http' END,
                 'direction', CASE WHEN k % 2 = 0 THEN 'to_server' ELSE 'to_client' END,
-                'payload_printable', CASE WHEN event_id % 7 = 0 THEN 'payload ' || event_id END,
+                'payload_printable', CASE
+                    WHEN event_id % 21 = 0 THEN 'payload' || chr(13) || chr(10) || 'second'
+                        || chr(10) || 'third' || chr(13) || event_id
+                    WHEN event_id % 7 = 0 THEN 'payload ' || event_id END,
                 'ttl', {_list(TTLS)}[k % 6 + 1],
                 'alert', CASE WHEN event_id % 30 != 0 THEN json_object('signature_id', rule_id) END,
                 'flow', json_object(
@@ -111,7 +115,7 @@ _CTES = {
                     'bytes_toclient', CASE WHEN k % 3 = 0 THEN 0 END,
                     'pkts_toserver', event_id % 17, 'pkts_toclient', k % 7),
                 'http', CASE WHEN k % 4 = 1 THEN json_object('http_user_agent', 'agent/' || (k % 3)) END
-              ) AS VARCHAR) AS doc FROM ev WHERE event_id % 3 = 0)""",
+              ) AS VARCHAR) AS doc FROM ev)""",
     "flows": """
         SELECT d->>'$.flow_id' AS flow_id, d->>'$.src_ip' AS src_ip,
                CAST(d->>'$.src_port' AS BIGINT) AS src_port, d->>'$.dest_ip' AS dst_ip,
@@ -162,7 +166,7 @@ _CTES = {
     "alerts": f"""
         SELECT event_id AS id, "timestamp", signature, src_ip, dst_ip, src_port, dst_port,
                protocol, priority, category AS classification_suricata,
-               CASE WHEN k = 99 THEN 'error' WHEN "value" >= 150 THEN 'hack' ELSE 'normal' END
+               CASE WHEN k = 98 THEN NULL WHEN k = 99 THEN 'error' WHEN "value" >= 150 THEN 'hack' ELSE 'normal' END
                  AS llm_classification,
                {_ATTACK_TYPE} AS attack_type,
                'Event ' || event_id || ' looks like ' || {_ATTACK_TYPE} AS explanation,
@@ -543,7 +547,8 @@ ORACLE_SQL: dict[str, str] = {
     "fp_suppression": _with(_SUPPRESSION.format("newest"), "newest"),
     "fp_suppression_whole_table": _with(_SUPPRESSION.format("alerts"), "alerts"),
     "verdict_counts": _with(
-        "SELECT llm_classification, count(*) AS alerts FROM alerts GROUP BY llm_classification",
+        """SELECT llm_classification, count(*) AS alerts FROM alerts
+        WHERE llm_classification IS NOT NULL GROUP BY llm_classification""",
         "alerts",
     ),
     "attack_type_counts": _with(
@@ -629,6 +634,33 @@ ORACLE_SQL: dict[str, str] = {
               FROM alerts GROUP BY src_ip)""",
         "alerts",
     ),
+    "view_kpis": _with(_KPIS.format("newest"), "newest"),
+    "feed_count": _with(
+        f"SELECT count(*) AS alerts FROM newest WHERE {_FILTERED} AND risk_score >= 2", "newest"
+    ),
+    "feed_count_whole_table": _with(
+        f"SELECT count(*) AS alerts FROM alerts WHERE {_FILTERED} AND risk_score >= 2", "alerts"
+    ),
+    "attacker_card_os": _with(
+        f"""
+        SELECT src_ip, total, ttl, {_OS} AS os
+        FROM (SELECT src_ip, count(*) FILTER (WHERE llm_classification = 'hack') AS total,
+                     coalesce(arg_max(ttl, created_at) FILTER (WHERE ttl > 0), 0) AS ttl
+              FROM alerts WHERE src_ip IN
+                (SELECT src_ip FROM newest WHERE llm_classification = 'hack') GROUP BY src_ip)""",
+        "alerts", "newest",
+    ),
+    "view_assessment": _with(
+        f"""
+        SELECT src_ip, CASE WHEN assessed THEN total || ' alerts' END AS methodology,
+               CASE WHEN assessed THEN '—' ELSE {_OBJECTIVE} END AS objective,
+               CASE WHEN assessed THEN 'SCRIPT_KIDDIE' ELSE {_SKILL} END AS skill_level,
+               CASE WHEN assessed THEN '—' ELSE {_RESPONSE} END AS response,
+               CAST(NULL AS VARCHAR) AS assessed_threat_level, assessed
+        FROM (SELECT *, src_ip NOT LIKE '%7' AS assessed FROM steps
+              JOIN (SELECT src_ip, count(*) AS total FROM hacks GROUP BY src_ip) USING (src_ip))""",
+        "hacks", "steps",
+    ),
     "profile_assessment": _with(
         f"""
         SELECT src_ip, {_THREAT} AS threat_level, {_STEPS_TEXT} AS kill_chain,
@@ -662,6 +694,16 @@ ORACLE_SQL: dict[str, str] = {
         'SELECT DISTINCT "value", md5("value") AS line_hash FROM lines', "lines"
     ),
     "stream_ingest": _with(_INGESTED, "live", "ttls"),
+    "stream_ingest_batches": _with(_INGESTED, "live", "ttls"),
+    "stream_profile_sequence": _with(
+        f"""
+        SELECT src_ip, count(*) AS attack_count,
+               string_agg(attack_type, ' → ' ORDER BY "timestamp", md5("value")) AS attack_sequence
+        FROM (SELECT *, {_VERDICTS.replace('attack_type, explanation,', '')}
+              FROM ({_SCORED_LIVE.format(_LIVE_ONCE)}) JOIN rendered USING (line))
+        WHERE llm_classification = 'hack' GROUP BY src_ip HAVING count(*) >= 2""",
+        "live", "rendered",
+    ),
     "stream_new_per_batch": _with("SELECT count(DISTINCT line) AS alerts FROM live", "live"),
     "stream_profiles": _with(
         f"""

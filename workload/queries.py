@@ -54,8 +54,8 @@ def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_flow_lines(_flow_lines(spark, sf_dir))
 
 
-def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_dataset(_parsed(spark, sf_dir), _flows(spark, sf_dir))
+def _dataset(spark: SparkSession, sf_dir: str, *, ordered: bool = True) -> DataFrame:
+    return build_dataset(_parsed(spark, sf_dir), _flows(spark, sf_dir), ordered=ordered)
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,17 +249,17 @@ def final_dataset_no_eve(spark, sf_dir):
 
 @query
 def label_distribution(spark, sf_dir):
-    return report.label_distribution(_dataset(spark, sf_dir))
+    return report.label_distribution(_dataset(spark, sf_dir, ordered=False))
 
 
 @query
 def fp_histogram(spark, sf_dir):
-    return report.fp_histogram(_dataset(spark, sf_dir))
+    return report.fp_histogram(_dataset(spark, sf_dir, ordered=False))
 
 
 @query
 def enrichment_coverage(spark, sf_dir):
-    return report.enrichment_coverage(_dataset(spark, sf_dir))
+    return report.enrichment_coverage(_dataset(spark, sf_dir, ordered=False))
 
 
 @query
@@ -506,6 +506,50 @@ def attacker_os(spark, sf_dir):
     return profile.attacker_os(_alerts(spark, sf_dir))
 
 
+def _stored_view(spark: SparkSession, sf_dir: str, **options) -> analytics.AnalystView:
+    """The view over a stored table, read anew."""
+    path = fresh_path(spark, "stored-alerts")
+    _alerts(spark, sf_dir).write.parquet(path)
+    return analytics.analyst_view(spark.read.parquet(path), **options)
+
+
+@query
+def view_kpis(spark, sf_dir):
+    return _stored_view(spark, sf_dir)["kpis"]
+
+
+@query
+def feed_count(spark, sf_dir):
+    return _stored_view(spark, sf_dir, min_risk=2)["feed_count"]
+
+
+@query
+def feed_count_whole_table(spark, sf_dir):
+    return report.feed_count(report.filter_alerts(_alerts(spark, sf_dir), min_risk=2))
+
+
+@query
+def attacker_card_os(spark, sf_dir):
+    cards = _stored_view(spark, sf_dir)["attackers"]
+    return cards.select("src_ip", "total", "ttl", "os")
+
+
+@query
+def view_assessment(spark, sf_dir):
+    """An assessor that leaves keys out, and fails for addresses ending in 7."""
+
+    def assessor(batch: pd.DataFrame) -> list[dict]:
+        if batch["src_ip"].str.endswith("7").any():
+            raise ValueError("no answer")
+        return [{"methodology": f"{n} alerts", "skill_level": "script_kiddie"} for n in batch["total"]]
+
+    profiles = profile.attacker_profile(_alerts(spark, sf_dir))
+    return score.assess_cards(profiles, assessor).select(
+        "src_ip", "methodology", "objective", "skill_level", "response",
+        "assessed_threat_level", "assessed",
+    )
+
+
 @query
 def profile_assessment(spark, sf_dir):
     profiles = profile.attacker_profile(_alerts(spark, sf_dir))
@@ -588,6 +632,37 @@ def stream_ingest(spark, sf_dir):
     return ingest.stored_alerts(spark, where).drop("id", "created_at")
 
 
+@query
+def stream_ingest_batches(spark, sf_dir):
+    """The events as several files, one file per micro-batch."""
+    where = ingest.Tables.below(fresh_path(spark, "ingest"))
+    events = binding.events_stream_of_files(spark, sf_dir, fresh_path(spark, "landing"), files=4)
+
+    def ttl() -> DataFrame:
+        return enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
+
+    ingest.start_ingest(
+        binding.alert_lines(events).select("value"), where, ttl=ttl, available_now=True
+    ).awaitTermination()
+    return ingest.stored_alerts(spark, where).drop("id", "created_at")
+
+
+@query
+def stream_profile_sequence(spark, sf_dir):
+    """Profiles whose assessor repeats the attack sequence it was given."""
+    where = ingest.Tables.below(fresh_path(spark, "ingest"))
+
+    def assessor(batch: pd.DataFrame) -> list[dict]:
+        return [{"methodology": sequence} for sequence in batch["attack_sequence"]]
+
+    ingest.start_ingest(
+        _line_stream(spark, sf_dir), where, assessor=assessor, available_now=True
+    ).awaitTermination()
+    return ingest.stored_profiles(spark, where).select(
+        "src_ip", "attack_count", F.col("methodology").alias("attack_sequence")
+    )
+
+
 @query
 def stream_new_per_batch(spark, sf_dir):
     return ingest.batch_counts(spark, _ingested(spark, sf_dir)).select("alerts")
