@@ -11,19 +11,22 @@ path, and two places with an equal edge have an equal core at the same offset.
 Joins then settle the paths: cores seen once are dropped; paths whose words
 are all equal elsewhere are repeated as a whole; and where different paths
 share a core, they are opened again and their edges compared, each distinct
-path once. Paths that touch in a document are then joined into long spans.
+path once. Repeated paths that follow each other in two documents are joined
+into long spans, and the words at both source coordinates are compared by
+digest before either span is removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.rows import KEY, by_bytes, join_by_row, join_grouped, keyed, stored
+from palisade.llm.rows import KEY, by_bytes, join_by_row, join_grouped, keyed, small_or_not, stored
 from palisade.llm.sequences import sliding_minimum, window_hashes, word_bounds, word_hashes
 
 SPAN = 35  # words
@@ -99,8 +102,101 @@ def _edges_of(wanted: DataFrame, span: int) -> DataFrame:
     )
 
 
+_PLACE = [KEY, "doc_id"]
+_RANGE = [*_PLACE, "a", "b"]
+
+
+def _long_spans(candidates: DataFrame, span: int) -> DataFrame:
+    """Word ranges whose paths also stand elsewhere, with the place of the copy.
+
+    ``_llm_key``, ``doc_id``, ``a``, ``b`` and the same of the other place,
+    ``other_key``, ``other_id``, ``other_a``. Each repeated path points at the
+    least of its places; paths that follow each other in both documents make
+    one span.
+    """
+    place = F.struct(KEY, F.col("doc_id").isNull().alias("unknown"), "doc_id", "first")
+    least = candidates.groupBy(*_PATH).agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("other")
+    ).filter("n > 1").drop("n")
+    away = join_grouped(candidates, least, _PATH).filter(~place.eqNullSafe(F.col("other"))).select(
+        *_PLACE, "first", "edges",
+        F.col(f"other.{KEY}").alias("other_key"), F.col("other.doc_id").alias("other_id"),
+        (F.col("other.first") - F.col("first")).alias("shift"),
+    )
+    pair = [*_PLACE, "other_key", "other_id", "shift"]
+    along = Window.partitionBy(*pair).orderBy("first")
+    begins = F.col("first") != F.lag(F.col("first") + F.col("edges")).over(along)
+    number = F.sum(F.coalesce(begins.cast("int"), F.lit(0))).over(along)
+    return away.withColumn("_span", number).groupBy(*pair, "_span").agg(
+        F.min("first").alias("a"),
+        F.max(F.col("first") + F.col("edges") + F.lit(span - 1)).alias("b"),
+    ).select(*_RANGE, "other_key", "other_id", (F.col("a") + F.col("shift")).alias("other_a"))
+
+
+def _with_text(docs: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
+    # a left join, so that all readers of the texts share one shuffle of them
+    joined = join_by_row(docs, asked).filter(F.col(columns[-1]).isNotNull())
+    return joined.select(*columns)
+
+
+def _digests(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``digest`` of the words of each range (``_llm_key``, ``doc_id``, ``a``, ``b``)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = ranges.distinct().groupBy(*_PLACE).agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", _MOVED):
+            row, a, b, digests = [], [], [], []
+            for i, (text, wanted) in enumerate(
+                zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ):
+                words = text.encode().split()
+                for x in wanted:
+                    row.append(i)
+                    a.append(x["a"])
+                    b.append(x["b"])
+                    digests.append(hashlib.sha256(b" ".join(words[x["a"]:x["b"]])).digest())
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(row), batch.column(1).take(row),
+                pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(digests, pa.binary()),
+            ], [*_RANGE, "digest"])
+
+    return _with_text(docs, asked, [*_PLACE, "text", "asked"]).mapInArrow(
+        digest, f"{KEY} bigint, doc_id {kind}, a int, b int, digest binary"
+    )
+
+
+def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Both places of each span whose words are the same at both."""
+    there = spans.select(
+        F.col("other_key").alias(KEY), F.col("other_id").alias("doc_id"),
+        F.col("other_a").alias("a"),
+        (F.col("other_a") + F.col("b") - F.col("a")).alias("b"),
+    )
+    digests = stored(_digests(docs, spans.select(*_RANGE).unionAll(there)), "digests")
+
+    def joined(rows: DataFrame, at: list[str], name: str) -> DataFrame:
+        side = digests.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(_RANGE)),
+                              F.col("digest").alias(name))
+        match = F.col(at[1]).eqNullSafe(F.col("_1"))
+        for i in (0, 2, 3):
+            match = match & (F.col(at[i]) == F.col(f"_{i}"))
+        return rows.join(side, match).drop("_0", "_1", "_2", "_3")
+
+    ends = spans.withColumn("other_b", F.col("other_a") + F.col("b") - F.col("a"))
+    both = joined(joined(ends, _RANGE, "here"), ["other_key", "other_id", "other_a", "other_b"], "there")
+    same = both.filter("here = there")
+    places = F.array(
+        F.struct(*_RANGE),
+        F.struct(F.col("other_key").alias(KEY), F.col("other_id").alias("doc_id"),
+                 F.col("other_a").alias("a"), F.col("other_b").alias("b")),
+    )
+    return same.select(F.inline(places)).distinct()
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN, core: int = CORE) -> DataFrame:
-    """``_llm_key``, ``doc_id``, ``spans``: word ranges to remove, merged, by row.
+    """``_llm_key``, ``doc_id``, ``spans``: word ranges to remove, by row.
 
     ``docs`` as :func:`palisade.llm.rows.keyed` gives them. Rows without
     repeats are absent.
@@ -112,36 +208,39 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, core: int = CORE) -> DataF
     ).filter("n > 1").select("core", "varied")
     candidates = stored(join_grouped(found, repeated, ["core"]), "paths")
 
-    # a tuple of firsts belongs to one row: any occurrence of equal words will do
-    place = [KEY, "doc_id", "first", "edges"]
-    distinct = candidates.groupBy(*_PATH).agg(
-        F.count(F.lit(1)).alias("n"), F.first("varied").alias("varied"),
-        *(F.first(c).alias(c) for c in place),
-    )
-    distinct = stored(distinct, "distinct")
-    whole = distinct.filter("n > 1").select(*_PATH, F.lit(None).cast("array<int>").alias("offsets"))
+    whole = _verified(docs, stored(_long_spans(candidates, span), "spans"))
 
-    asked = distinct.filter("varied").groupBy(KEY, "doc_id").agg(
+    # a tuple of firsts belongs to one row: any place of a path will do
+    distinct = stored(candidates.filter("varied").groupBy(*_PATH).agg(
+        F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in [*_PLACE, "first", "edges"])
+    ), "distinct")
+    asked = distinct.groupBy(*_PLACE).agg(
         F.collect_list(F.struct("first", "edges", *_PATH)).alias("asked")
     )
-    edges = _edges_of(join_by_row(docs, asked, "inner").select("text", "asked"), span)
-    shared = edges.groupBy("edge_a", "edge_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = _edges_of(_with_text(docs, asked, ["text", "asked"]), span)
     both = ["edge_a", "edge_b"]
+    shared = edges.groupBy(*both).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = join_grouped(edges, shared.select(*both), both).groupBy(*_PATH).agg(
         F.collect_list("offset").alias("offsets")
     )
-    parts = parts.join(whole.select(*_PATH), _PATH, "left_anti").select(*_PATH, "offsets")
-
-    marks = whole.unionAll(parts)
-    first, width = F.col("first"), F.lit(span)
-    ranges = F.when(
-        F.col("offsets").isNull(),
-        F.array(F.struct(first.alias("a"), (first + F.col("edges") + width - 1).alias("b"))),
-    ).otherwise(F.transform("offsets", lambda o: F.struct(
-        (first + o).alias("a"), (first + o + width).alias("b"))))
-    return join_grouped(candidates, marks, _PATH).select(KEY, "doc_id", ranges.alias("r")).groupBy(
-        KEY, "doc_id"
-    ).agg(F.flatten(F.collect_list("r")).alias("spans"))
+    # a path that is repeated as a whole needs no parts
+    once = distinct.filter("n = 1").select(*_PATH)
+    parts = parts.join(once, _PATH, "left_semi")
+    starts = F.transform("offsets", lambda o: F.col("first") + o)
+    partly = join_grouped(candidates, parts, _PATH).select(*_PLACE, F.explode(starts).alias("a")).withColumn(
+        "b", F.col("a") + F.lit(span)
+    )
+    # rows equal in id and text stand at one place and repeat each other
+    twice = small_or_not(
+        docs.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*_PLACE)
+    )
+    listed = join_by_row(candidates, twice, "left_semi").select(
+        *_PLACE, F.col("first").alias("a"),
+        (F.col("first") + F.col("edges") + F.lit(span - 1)).alias("b"),
+    )
+    return whole.unionAll(partly.select(*_RANGE)).unionAll(listed).groupBy(*_PLACE).agg(
+        F.collect_list(F.struct("a", "b")).alias("spans")
+    )
 
 
 def merge_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +259,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, core: int = CORE) -> DataF
     stay, joined by one space; ``spans`` the removed word ranges. All copies of
     a repeated passage go. A null or empty text has no words; texts shorter
     than ``span`` stay whole; repeated rows are repeats of each other; other
-    columns are ignored. Equality of sequences is that of two independent
-    64-bit hashes of their words together with that of their core.
+    columns are ignored. Long spans are compared by SHA-256 of their words, the
+    single edges at their borders by two independent 64-bit hashes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = keyed(docs)
