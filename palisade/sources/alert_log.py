@@ -91,7 +91,11 @@ def rejected_lines(lines: DataFrame, *, grammar: str = "archive") -> DataFrame:
 
 
 def event_time(timestamp: Column) -> Column:
-    """The alert's text timestamp as a time-zone free timestamp, or null."""
-    return F.try_to_timestamp(timestamp, F.lit(ALERT_TIMESTAMP_FORMAT)).cast(
+    """The alert's text timestamp as a time-zone free timestamp, or null.
+
+    Fraction digits after the sixth are cut off.
+    """
+    micros = F.regexp_replace(timestamp, r"(\.\d{6})\d+$", "$1")
+    return F.try_to_timestamp(micros, F.lit(ALERT_TIMESTAMP_FORMAT)).cast(
         "timestamp_ntz"
     )

@@ -65,25 +65,39 @@ class Tables:
             "last_ids")))
 
 
-def distinct_lines(lines: DataFrame, *, salts: int = 16) -> DataFrame:
+def distinct_lines(
+    lines: DataFrame, *, salts: int | None = None, forget_after: str | None = None
+) -> DataFrame:
     """Each distinct raw line once over the life of the stream.
 
     The second step is the exact one; its state lives in the checkpoint and
     survives restarts. The first takes the pressure off it when one line makes
-    up much of the input: copies are spread over ``salts`` keys by the task
-    that read them and thinned to one per key. It may forget after a minute,
-    and the task number is the same when a task is tried again.
-    ``salts=1`` leaves the first step out.
+    up much of the input: copies are spread over ``salts`` keys (by default one
+    for each shuffle partition) by the task that read them and thinned to one
+    per key. It may forget after a minute, and the task number is the same when
+    a task is tried again. ``salts=1`` leaves the first step out.
+
+    The state holds 16 bytes and overhead for each line ever seen, over as many
+    partitions as the first start had: size ``spark.sql.shuffle.partitions``
+    for the lines expected. ``forget_after`` (such as ``"30 days"``) bounds it,
+    for both steps; a line that comes again later than that counts as new.
     """
+    if salts is None:
+        salts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = lines.withColumn("line_hash", F.unhex(F.md5("value")))
-    if salts > 1:
-        hashed = (
-            hashed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-            .withColumn("_arrived", F.current_timestamp())
-            .withWatermark("_arrived", "1 minute")
-            .dropDuplicatesWithinWatermark(["line_hash", "_salt"])
+    if salts > 1 or forget_after is not None:
+        hashed = hashed.withColumn("_arrived", F.current_timestamp()).withWatermark(
+            "_arrived", forget_after or "1 minute"
         )
-    return hashed.dropDuplicates(["line_hash"]).drop("_salt", "_arrived")
+    if salts > 1:
+        hashed = hashed.withColumn(
+            "_salt", F.pmod(F.spark_partition_id(), F.lit(salts))
+        ).dropDuplicatesWithinWatermark(["line_hash", "_salt"])
+    if forget_after is not None:
+        once = hashed.dropDuplicatesWithinWatermark(["line_hash"])
+    else:
+        once = hashed.dropDuplicates(["line_hash"])
+    return once.drop("_salt", "_arrived")
 
 
 def parsed_stream(lines: DataFrame) -> DataFrame:

@@ -67,9 +67,11 @@ def test_number_too_large_becomes_null(spark):
 
 
 def test_event_time(spark):
-    frame = spark.createDataFrame([("03/14/2027-21:07:45.310992",), ("junk",)], "t string")
+    frame = spark.createDataFrame(
+        [("03/14/2027-21:07:45.310992",), ("junk",), ("03/14/2027-21:07:45.310992999",)], "t string")
     got = [r[0] for r in frame.select(event_time(F.col("t"))).collect()]
-    assert got == [datetime(2027, 3, 14, 21, 7, 45, 310992), None]
+    assert got == [datetime(2027, 3, 14, 21, 7, 45, 310992), None,
+                   datetime(2027, 3, 14, 21, 7, 45, 310992)]
 
 
 def test_regex_runs_once_per_line(spark):

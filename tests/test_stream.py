@@ -216,3 +216,15 @@ def test_assessor_gets_the_sequence_over_batches(feed):
     assert {k: v["methodology"] for k, v in feed.profiles().items()} == {
         "10.0.0.1": "port_scan → dos → port_scan"
     }
+
+
+def test_lines_may_be_forgotten_after_a_time(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    (folder / "1.log").write_text("a\nb\na\n" * 50)
+    once = ingest.distinct_lines(stream_lines(spark, str(folder)), forget_after="30 days")
+    query = once.writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "progress")
+    ).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
