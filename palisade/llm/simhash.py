@@ -23,6 +23,7 @@ DISTANCE = 3
 PARTS = 2  # keys of about 32 bits: few unrelated fingerprints share one, at any size
 SAMPLE = 2048  # fingerprints the partition and its thresholds are fitted on
 BLOCK = 256  # members of a key that are compared with one another in one group
+WIDE_BLOCK = 512  # the same where several fingerprints make keys fuller
 _CHUNK = 100_000  # shingles hashed at once
 _MOVED = 4_000_000  # bytes of text unpacked at once
 
@@ -73,8 +74,8 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fingerprint bigint")
 
 
-PROBES = 4  # fingerprints of a document's distinct words, by different hashes
-WIDE = 4  # 64-bit words of the fingerprint of five-word shingles
+PROBES = 6  # fingerprints of a document's distinct words, by different hashes
+WIDE = 8  # 64-bit words of the fingerprint of five-word shingles
 SIMILAR_WORDS = 5
 # Expected distance of WIDE * 64 bits at a shingle similarity of 0.8: the angle
 # whose cosine is 2 * 0.8 / 1.8, as a share of pi.
@@ -286,7 +287,9 @@ def _star_links(distance: int, wide_distance: int):
     return links
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, wide_distance: int = 0) -> DataFrame:
+def links(
+    nodes: DataFrame, distance: int = DISTANCE, wide_distance: int = 0, block: int | None = None
+) -> DataFrame:
     """Edges (``u``, ``v``) that connect all nodes with near fingerprints.
 
     ``nodes``: ``node`` (unique long), ``probes`` (array of 64-bit
@@ -320,9 +323,10 @@ def links(nodes: DataFrame, distance: int = DISTANCE, wide_distance: int = 0) ->
     own = index.join(touched, place, "left_semi")
     members = stored(own if members is None else own.unionAll(members), "members")
 
-    sizes = members.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    most = block or BLOCK
+    sizes = members.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
     counted = members.join(small_or_not(sizes), place, "left")
-    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("long")
+    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(most)), F.lit(1)).cast("long")
     placed = counted.withColumn("_blocks", blocks).withColumn(
         "_own", F.pmod(F.xxhash64("node"), F.col("_blocks"))
     ).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
@@ -337,7 +341,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, wide_distance: int = 0) ->
     return together.mapInArrow(_star_links(distance, wide_distance), "u bigint, v bigint")
 
 
-def classes(signed: DataFrame, distance: int = DISTANCE, wide_distance: int = 0) -> DataFrame:
+def classes(
+    signed: DataFrame, distance: int = DISTANCE, wide_distance: int = 0, block: int | None = None
+) -> DataFrame:
     """``signed`` (``doc_id``, ``probes``, ``wide``, ...) with ``component_id``.
 
     ``component`` numbers the components within one run. Rows with equal fingerprints are one node, so copies cost one row each.
@@ -346,7 +352,7 @@ def classes(signed: DataFrame, distance: int = DISTANCE, wide_distance: int = 0)
     """
     same = signed.groupBy("probes", "wide").agg(F.min("doc_id").alias("_least"))
     nodes = stored(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    member = stored(connected_components(links(nodes, distance, wide_distance)), "members")
+    member = stored(connected_components(links(nodes, distance, wide_distance, block)), "members")
     least = nodes.join(member, "node").groupBy("component").agg(F.min("_least").alias("_found"))
     linked = join_grouped(member, least, ["component"]).select("node", "_found")
     roots = member.withColumnRenamed("component", "_root")
@@ -387,7 +393,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     count as empty. Repeated rows are one document.
     """
     signed = stored(signatures(keyed(docs)), "signatures")
-    found = classes(signed, DISTANCE, WIDE_DISTANCE)
+    found = classes(signed, DISTANCE, WIDE_DISTANCE, WIDE_BLOCK)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
         "component"
     ).agg(F.min(KEY).alias(KEY), F.first("doc_id").alias("doc_id")).select(KEY, "doc_id")
