@@ -174,7 +174,7 @@ def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
         F.col("other_a").alias("a"),
         (F.col("other_a") + F.col("b") - F.col("a")).alias("b"),
     )
-    digests = stored(_digests(docs, spans.select(*_RANGE).unionAll(there)), "digests")
+    digests = _digests(docs, spans.select(*_RANGE).unionAll(there))
 
     def joined(rows: DataFrame, at: list[str], name: str) -> DataFrame:
         side = digests.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(_RANGE)),
