@@ -52,20 +52,20 @@ def phrases(rows: list[tuple], window: int = WINDOW) -> Phrases:
     """From (item_id, text) rows; a null id reads as the empty string."""
     vocabulary: dict[bytes, int] = {}
     windows: dict[tuple[int, ...], set[int]] = {}
-    items: list[str] = []
+    items: dict[str, int] = {}
     for item_id, text in rows:
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in folded(text).split()]
-        items.append("" if item_id is None else str(item_id))
+        item = items.setdefault("" if item_id is None else str(item_id), len(items))
         if ids:
             for i in range(max(1, len(ids) - window + 1)):
-                windows.setdefault(tuple(ids[i:i + window]), set()).add(len(items) - 1)
+                windows.setdefault(tuple(ids[i:i + window]), set()).add(item)
     lengths: dict[int, list[tuple[int, ...]]] = {}
     for key in windows:
         lengths.setdefault(len(key), []).append(key)
     return Phrases(vocabulary, [
         (np.array(keys, np.int64), [sorted(windows[k]) for k in keys])
         for _, keys in sorted(lengths.items())
-    ], items)
+    ], list(items))
 
 
 def search_shard(texts: list[str | None], wanted: Phrases) -> list[tuple[int, list[int], list[tuple[int, int]]]]:
@@ -205,8 +205,8 @@ def contamination(
     An item's windows are its sequences of ``window`` words, or its only
     sequence if it is shorter; an item without words has none. A word inside
     an occurrence is hit. ``items`` are the ids, as text, of items with an
-    occurring window. Null texts have no words; repeated items act once for
-    each; repeated rows each get a row; other columns are ignored.
+    occurring window; rows of one item id are one item. Null texts have no
+    words; repeated rows each get a row; other columns are ignored.
     """
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return find_hits(docs, benchmark, window, item_bytes).select(
