@@ -276,8 +276,8 @@ def _star_links(distance: int, wide_distance: int):
             if not len(table):
                 continue
             group = table.column("g").to_numpy()
-            last = int(np.searchsorted(group, group[-1], side="left")) if np.all(
-                group[1:] >= group[:-1]) else int(np.flatnonzero(group[1:] != group[:-1])[-1]) + 1
+            changes = np.flatnonzero(group[1:] != group[:-1])
+            last = int(changes[-1]) + 1 if len(changes) else 0
             kept = table.slice(last)
             if last:
                 yield compared(table.slice(0, last))
@@ -334,7 +334,7 @@ def links(
         F.xxhash64(*place, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("g"),
         "slot", "node",
     )
-    full = grouped.join(flat.withColumnRenamed("probe", "probe"), ["node", "slot"]).join(
+    full = grouped.join(flat, ["node", "slot"]).join(
         nodes.select("node", "wide"), "node"
     ).select("g", "node", "probe", "wide")
     together = full.repartition("g").sortWithinPartitions("g", "node")
