@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm import jaccard
 from palisade.llm.components import connected_components
 from palisade.llm.rows import (
     KEY, by_bytes, join_by_row, join_grouped, keyed, row_key, small_or_not, stored,
@@ -385,15 +386,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each group one row stays, all columns.
 
-    Documents are near if one of their ``PROBES`` word fingerprints differs in
-    at most ``DISTANCE`` bits and their five-word shingles have an estimated
-    similarity of 0.8 or more; groups are what that connects. The row with the
-    smallest ``doc_id`` stays (ties: by a hash of the text; a null id only if
-    the group has no other). Texts without words are one group; null texts
-    count as empty. Repeated rows are one document.
+    Documents are near if the Jaccard similarity of their five-word shingles is
+    0.8 or more, verified on the shingles; groups are what that connects. The
+    row with the smallest ``doc_id`` stays (ties: by a hash of the text; a null
+    id only if the group has no other). Texts without words are one group; null
+    texts count as empty. Repeated rows are one document.
     """
-    signed = stored(signatures(keyed(docs)), "signatures")
-    found = classes(signed, DISTANCE, WIDE_DISTANCE, WIDE_BLOCK)
+    found = jaccard.classes(docs)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
         "component"
     ).agg(F.min(KEY).alias(KEY), F.first("doc_id").alias("doc_id")).select(KEY, "doc_id")
