@@ -1,8 +1,9 @@
-"""Line deduplication by content-defined chunks of lines."""
+"""Line deduplication by all runs of lines, or by content-defined chunks of them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -110,17 +111,9 @@ def _keep(text: str | None, ranges) -> tuple[str | None, int, int]:
     return "\n".join(x for x, out in zip(lines, gone) if not out), len(lines), int(gone.sum())
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with repeated multi-line chunks cut from ``text``.
-
-    Adds ``n_lines``, ``n_removed``. The first copy of each chunk stays, so no
-    passage is lost; documents may become empty but every row stays. Null
-    texts stay null and have no lines, as has the empty text. Rows equal in
-    id and text are one document listed twice: they get equal results and do
-    not make each other repeats.
-    """
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
     own = ("n_lines", "n_removed")
-    repeats = repeated_chunks(keyed(docs), min_lines).withColumnRenamed("ranges", "_llm_ranges")
+    repeats = found.withColumnRenamed("ranges", "_llm_ranges")
     joined = join_by_row(docs.drop(*own).withColumn(KEY, row_key()), repeats)
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
@@ -134,3 +127,70 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return joined.withColumn("_cut", cut("text", "_llm_ranges")).select(
         *kept, "_cut.n_lines", "_cut.n_removed"
     )
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` with repeated multi-line chunks cut from ``text``.
+
+    Adds ``n_lines``, ``n_removed``. The first copy of each chunk stays, so no
+    passage is lost; documents may become empty but every row stays. Null
+    texts stay null and have no lines, as has the empty text. Rows equal in
+    id and text are one document listed twice: they get equal results and do
+    not make each other repeats.
+    """
+    return _without(docs, repeated_chunks(keyed(docs), min_lines))
+
+
+def _windows(docs: DataFrame, n: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", _MOVED):
+            row, begins, digests = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                lines = split_lines(text)
+                count = max(0, len(lines) - n + 1)
+                row += [i] * count
+                begins += range(count)
+                digests += [
+                    blake2b(b"\n".join(lines[a:a + n]), digest_size=16).digest()
+                    for a in range(count)
+                ]
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(row), batch.column(1).take(row),
+                pa.array(begins, pa.int32()), pa.array(digests, pa.binary()),
+            ], [KEY, "doc_id", "begin", "digest"])
+
+    return docs.mapInArrow(cut, f"{KEY} bigint, doc_id {kind}, begin int, digest binary")
+
+
+def repeated_passages(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``_llm_key``, ``doc_id``, ``ranges``: lines that passages seen before cover, by row.
+
+    Every run of ``min_lines`` lines is compared, by a cryptographic hash of
+    its bytes, so a repeated passage of that length or more is found whole,
+    wherever it stands. The first place of a run, by ``doc_id`` (null first),
+    row and line, is no repeat.
+    """
+    marked = stored(_windows(docs, min_lines), "windows")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", KEY, "begin")
+    first = marked.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
+    ).filter("n > 1").drop("n")
+    copies = join_grouped(marked, first, ["digest"]).filter(~place.eqNullSafe(F.col("first")))
+    end = (F.col("begin") + min_lines).cast("int").alias("end")
+    return copies.groupBy(KEY, "doc_id").agg(
+        F.collect_set(F.struct(F.col("begin").alias("start"), end)).alias("ranges")
+    )
+
+
+def dedup_passages(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` without the passages of ``min_lines`` lines or more that stood before.
+
+    As ``dedup_lines``, but complete: a line goes if any run of ``min_lines``
+    lines that holds it occurs at an earlier place. Of every line one copy
+    stays; where repeats overlap, the lines of a passage may stay in different
+    documents.
+    """
+    return _without(docs, repeated_passages(keyed(docs), min_lines))

@@ -24,7 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select(
+    return lines.dedup_passages(docs).select(
         "doc_id", "n_lines", "n_removed",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
