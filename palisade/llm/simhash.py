@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from palisade.llm import jaccard
 from palisade.llm.components import connected_components
 from palisade.llm.rows import (
-    KEY, by_bytes, join_by_row, join_grouped, keyed, row_key, small_or_not, stored,
+    KEY, by_bytes, join_by_row, join_grouped, row_key, small_or_not, stored,
 )
-from palisade.llm.sequences import mix, window_hashes, word_bounds, word_hashes
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -24,7 +23,6 @@ DISTANCE = 3
 PARTS = 2  # keys of about 32 bits: few unrelated fingerprints share one, at any size
 SAMPLE = 2048  # fingerprints the partition and its thresholds are fitted on
 BLOCK = 256  # members of a key that are compared with one another in one group
-WIDE_BLOCK = 512  # the same where several fingerprints make keys fuller
 _CHUNK = 100_000  # shingles hashed at once
 _MOVED = 4_000_000  # bytes of text unpacked at once
 
@@ -75,53 +73,6 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fingerprint bigint")
 
 
-PROBES = 6  # fingerprints of a document's distinct words, by different hashes
-WIDE = 8  # 64-bit words of the fingerprint of five-word shingles
-SIMILAR_WORDS = 5
-# Expected distance of WIDE * 64 bits at a shingle similarity of 0.8: the angle
-# whose cosine is 2 * 0.8 / 1.8, as a share of pi.
-WIDE_DISTANCE = round(WIDE * 64 * float(np.arccos(1.6 / 1.8)) / np.pi)
-
-
-def signature(text: str) -> tuple[list[int], list[int]]:
-    """Probes and wide fingerprint of a text; all zero without words.
-
-    Few edits change few of the distinct words, so copies with edits share
-    near probes; which of them are similar, the shingles decide.
-    """
-    data = text.encode().lower()
-    words = word_hashes(data, *word_bounds(data))
-    if not len(words):
-        return [0] * PROBES, [0] * WIDE
-    shingles = np.unique(window_hashes(words, min(SIMILAR_WORDS, len(words))))
-
-    def prints(hashes: np.ndarray, n: int) -> list[int]:
-        return [
-            _majority(sum(_bit_counts(mix(hashes[i:i + _CHUNK] + np.uint64(k)))
-                          for i in range(0, len(hashes), _CHUNK)), len(hashes))
-            for k in range(1, n + 1)
-        ]
-
-    return prints(np.unique(words), PROBES), prints(shingles, WIDE)
-
-
-def signatures(rows: DataFrame) -> DataFrame:
-    """``_llm_key``, ``doc_id``, ``probes``, ``wide`` of keyed rows."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", _MOVED):
-            found = [signature(text) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1),
-                *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)),
-            ], [KEY, "doc_id", "probes", "wide"])
-
-    return rows.mapInArrow(
-        sign, f"{KEY} bigint, doc_id {kind}, probes array<bigint>, wide array<bigint>"
-    )
-
-
 # --- partition of the bits and thresholds -----------------------------------
 
 def group_bits(sample: np.ndarray, parts: int = PARTS) -> list[int]:
