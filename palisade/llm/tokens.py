@@ -19,6 +19,9 @@ CACHE_UNITS = 1_000_000  # lengths kept by a worker, then it starts anew
 # the one before is none: there the pre-tokenizer always ends a piece.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SAFE = re.compile(r"(?<=\S) | (?=\S)")
+# Pieces end only here: the rest of a run of spaces stays with what is before it,
+# so a later piece begins with the one space that its first unit has lost.
+_CUT = re.compile(r" (?=\S)")
 
 
 def units(text: str) -> list[str]:
@@ -27,14 +30,14 @@ def units(text: str) -> list[str]:
 
 
 def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
-    """Cut a long text before spaces that are safe boundaries.
+    """Cut a long text before spaces that no white space follows.
 
-    All but the first piece begin with a space. A piece is longer than
+    All but the first piece begin with one space. A piece is longer than
     ``limit`` only if it holds no such boundary later on.
     """
     begin = 0
     while len(text) - begin > limit:
-        boundary = _SAFE.search(text, begin + limit)
+        boundary = _CUT.search(text, begin + limit)
         if boundary is None:
             break
         yield text[begin:boundary.start()]

@@ -39,6 +39,17 @@ def test_long_texts_are_cut_at_safe_boundaries():
     assert sum(len(LIBRARY.encode(c, add_special_tokens=False)) for c in cut) == whole
 
 
+@pytest.mark.parametrize("gap", [*(" " * n for n in range(1, 6)), "\t ", " \t", " \n ", "\n  "])
+def test_pieces_count_like_the_whole_text(monkeypatch, gap):
+    text = gap.join(f"cell{i} next" for i in range(60)) + gap
+    whole = len(LIBRARY.encode(text, add_special_tokens=False))
+    for limit in range(3, 40):
+        cut = list(tokens.pieces(text, limit))
+        assert len(cut) > 1 and "".join(cut) == text
+        monkeypatch.setattr(tokens.pieces, "__defaults__", (limit,))
+        assert COUNTER.count([text]) == [whole]
+
+
 def test_token_counts_of_all_rows(spark):
     frame = data.frame(spark)
     want = Counter(
