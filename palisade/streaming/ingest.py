@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from palisade.functions.assessment import ARROW
 from palisade.operators import profile, report
 from palisade.operators.enrich import join_ttl
 from palisade.operators.numbering import with_position
@@ -29,9 +30,6 @@ from palisade.sources.tables import (
 
 POLL_INTERVAL = "10 seconds"
 
-# Steps of a source's attack sequence that an assessor is given.
-SEQUENCE_STEPS = 10_000
-
 IDS = T.StructType([T.StructField("last_id", T.LongType())])
 
 FACTS = T.StructType([
@@ -152,12 +150,14 @@ def store_batch(
 def profile_batch(
     stored: DataFrame, batch_id: int, tables: Tables,
     assessor: BatchFunction | None = None,
+    max_sequence: int | None = None,
 ) -> None:
     """Profile the attackers that this batch made repeat attackers.
 
     Only a source with a hack in this batch can newly reach the minimum, so
     the batch decides whom to look at. An assessor also gets ``attack_sequence``,
-    the ordered attacks up to this batch. Their history comes from the facts
+    the ordered attacks up to this batch (all, or the first ``max_sequence``).
+    Their history comes from the facts
     of all batches (a few rows per source) instead of from all alerts. A
     profile is written once and never refreshed; rows of this very batch are
     ignored when looking for existing profiles, so a repeat run rewrites them.
@@ -180,7 +180,8 @@ def profile_batch(
     due = profile.profile_facts(history).join(candidates, "src_ip")
     if assessor is not None:
         due = due.join(
-            _sequences(stored, facts.filter(F.col("batch_id") < batch_id), due, tables),
+            _sequences(stored, facts.filter(F.col("batch_id") < batch_id), due, tables,
+                       max_sequence),
             "src_ip", "left",
         )
     rows = (
@@ -196,9 +197,10 @@ def profile_batch(
 
 
 def _sequences(
-    stored: DataFrame, earlier: DataFrame, due: DataFrame, tables: Tables
+    stored: DataFrame, earlier: DataFrame, due: DataFrame, tables: Tables,
+    max_sequence: int | None = None,
 ) -> DataFrame:
-    """``attack_sequence`` of the sources in ``due``: its first ``SEQUENCE_STEPS`` steps.
+    """``attack_sequence`` of the sources in ``due``, whole or its first ``max_sequence`` steps.
 
     A source is profiled as soon as it has enough hacks, so one that is due
     now had fewer before: at most one, by its facts, and the rest in this batch.
@@ -212,10 +214,16 @@ def _sequences(
     now = stored.select(*before.columns)
     hacks = before.unionByName(now).join(sources, "src_ip", "left_semi")
     sequence = profile.attack_sequence(hacks, at=f"{tables.staging}-sequence")
-    text = profile.sequence_text(
-        sequence.filter(F.col("position") <= SEQUENCE_STEPS), steps_per_row=SEQUENCE_STEPS
+    if max_sequence is not None:
+        sequence = sequence.filter(F.col("position") <= max_sequence)
+    part = F.struct("part", "attack_sequence")
+    parts = profile.sequence_text(sequence).groupBy("src_ip").agg(
+        F.sort_array(F.collect_list(part)).alias("parts")
+    )
+    return parts.select(
+        "src_ip",
+        F.array_join(F.col("parts.attack_sequence"), ARROW).alias("attack_sequence"),
     )
-    return text.select("src_ip", "attack_sequence")
 
 
 def start_ingest(
@@ -225,13 +233,15 @@ def start_ingest(
     ttl: Callable[[], DataFrame] | None = None,
     scorer: BatchFunction | None = None,
     assessor: BatchFunction | None = None,
+    max_sequence: int | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Start the ingest of a streaming frame of raw lines.
 
     Polls on a fixed interval, or with ``available_now`` works off what is
     there and stops. ``ttl`` is called for every batch that has alerts, so it
-    sees flow logs that arrived in the meantime.
+    sees flow logs that arrived in the meantime. ``max_sequence`` limits the
+    steps an assessor is given; by default it gets all.
     """
 
     session = lines.sparkSession
@@ -247,7 +257,7 @@ def start_ingest(
         stored = store_batch(
             staged, batch_id, tables, ttl=ttl and ttl(), scorer=scorer
         )
-        profile_batch(stored, batch_id, tables, assessor)
+        profile_batch(stored, batch_id, tables, assessor, max_sequence)
 
     writer = (
         parsed_stream(lines).writeStream.foreachBatch(handle)

@@ -218,6 +218,19 @@ def test_assessor_gets_the_sequence_over_batches(feed):
     }
 
 
+def test_assessor_gets_a_long_sequence_whole(feed):
+    feed.land(*(line(n) for n in range(10_003)), line(10_019, signature="Slowloris DoS Attack"))
+    feed.run(assessor=lambda batch: [{"methodology": s} for s in batch["attack_sequence"]])
+    steps = feed.profiles()["10.0.0.1"]["methodology"].split(" → ")
+    assert steps == ["port_scan"] * 10_003 + ["dos"]
+
+
+def test_assessor_gets_as_many_steps_as_asked_for(feed):
+    feed.land(*(line(n) for n in range(5)))
+    feed.run(max_sequence=3, assessor=lambda batch: [{"methodology": s} for s in batch["attack_sequence"]])
+    assert feed.profiles()["10.0.0.1"]["methodology"] == " → ".join(["port_scan"] * 3)
+
+
 def test_lines_may_be_forgotten_after_a_time(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
