@@ -40,7 +40,39 @@ copied AS (
 SELECT {columns} FROM copied"""
 
 
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+RANKED_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+total AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM docs WHERE len(ts) > 0),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counted AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted CROSS JOIN total GROUP BY term, n_docs),
+impacts AS (
+  SELECT r, term, w * ((1000000000 * tf)
+    // (1000 * tf + 20 * (100 - 50 + ((50 * len(ts)::BIGINT * n_docs) // n_terms)))) AS impact
+  FROM counted JOIN docs USING (r) JOIN weighed USING (term) CROSS JOIN total),
+scored AS (
+  SELECT item_id, r, sum(impact)::BIGINT AS score
+  FROM wanted JOIN impacts USING (term) GROUP BY item_id, r),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
 ORACLE_SQL = {
+    "op11_ranked_search": RANKED_SQL,
     "op4_source_mixing": mixing_sql(
         "documents",
         "doc_id, size, source_size, target, (size * copies)::BIGINT AS taken",

@@ -17,7 +17,7 @@ from palisade.llm.rows import by_bytes
 
 SPACE = "▁"
 BATCH_BYTES = 2_000_000  # of text encoded, decoded and checked at a time
-CACHED_UNITS = 500_000  # units whose ids a worker keeps, then it starts anew
+CACHED_UNITS = 600_000  # units of a generation whose ids a worker keeps; it holds two
 CACHED_CHARS = 64  # longer units are encoded each time
 
 # A unit: a run of spaces and what follows up to the next space.
@@ -57,9 +57,9 @@ class PieceCodec:
         byte_ids = [i for i in ids if library.is_byte(i)]
         if len(byte_ids) != 256:
             raise ValueError("only models with byte fallback are supported")
-        self._byte = {int(names[i][3:5], 16): i for i in byte_ids}
+        self._byte = {int(names[i][3:5], 16): _packed([i]) for i in byte_ids}
         # symbols are compared with spaces unmarked, as texts hold them
-        self._id = {names[i].replace(SPACE, " "): i for i in plain}
+        self._id = {names[i].replace(SPACE, " "): _packed([i]) for i in plain}
         self._cost = {names[i].replace(SPACE, " "): -library.get_score(i) for i in plain}
         self._surface = [
             b"" if library.is_control(i)
@@ -73,6 +73,7 @@ class PieceCodec:
         ]
         self._separable = not any(" " in s.lstrip(" ") for s in self._id)
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._begin, self._end = _packed([library.bos_id()]), _packed([library.eos_id()])
 
     def merged(self, unit: str) -> list[str]:
@@ -122,7 +123,7 @@ class PieceCodec:
                 ids.append(known)
             else:
                 ids += [self._byte[b] for b in symbol.encode()]
-        return _packed(ids)
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, packed as little-endian unsigned 32-bit integers."""
@@ -130,15 +131,16 @@ class PieceCodec:
             return self._begin + self._end
         marked = " " + text.replace(SPACE, " ")
         units = _UNIT.findall(marked) if self._separable else [marked]
-        known = self._known
+        known, older, long = self._known, self._older, []
         for unit in set(units).difference(known):
-            known[unit] = self.unit_ids(unit)
-        packed = b"".join([self._begin, *map(known.__getitem__, units), self._end])
-        if len(known) > CACHED_UNITS:
-            known.clear()
-        for unit in units if len(text) > CACHED_CHARS else ():
+            known[unit] = older.get(unit) or self.unit_ids(unit)
             if len(unit) > CACHED_CHARS:
-                known.pop(unit, None)
+                long.append(unit)
+        packed = b"".join([self._begin, *map(known.__getitem__, units), self._end])
+        for unit in long:
+            del known[unit]
+        if len(known) > CACHED_UNITS:  # units that come again move on from the older ones
+            self._known, self._older = {}, known
         return packed
 
     def decode(self, packed: bytes) -> str:
