@@ -71,8 +71,48 @@ ranked AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
 
 
+TRIE_SQL = """
+WITH given AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(
+      [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, nothing: xor(v >> 1, 3988292384 * (v & 1))))) % 9 AS h
+  FROM given),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(f.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN given f ON f.conv_id = c.conv_id - ((c.conv_id % 5) + 5) % 5),
+members AS (
+  SELECT conv_id, depth, turns[1:depth] AS path, len(turns) AS n
+  FROM rebuilt, unnest(range(len(turns) + 1)) AS depths(depth)),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth) AS ends,
+    (count(*) - 1) * coalesce(strlen(path[-1].text), 0) AS saved
+  FROM members GROUP BY depth, path),
+children AS (
+  SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*)::BIGINT AS n
+  FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, path)),
+subtrees AS (
+  SELECT path[1:above] AS path, above AS depth, sum((n_children = 0)::INT)::BIGINT AS n_leaves,
+    sum(saved)::BIGINT AS saved_tokens
+  FROM counted, unnest(range(depth + 1)) AS parts(above) GROUP BY ALL)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+  s.n_leaves, s.saved_tokens, sha256(coalesce(c.ends, '')) AS ends_sha256
+FROM counted c JOIN subtrees s USING (depth, path)
+LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.path = c.path[1:c.depth - 1]"""
+
+
 ORACLE_SQL = {
     "op11_ranked_search": RANKED_SQL,
+    "op13_conversation_trie": TRIE_SQL,
     "op4_source_mixing": mixing_sql(
         "documents",
         "doc_id, size, source_size, target, (size * copies)::BIGINT AS taken",

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat, debruijn, decontaminate, lines, mixing, pieces, pii, ranked, simhash, tokens, toxicity, winnowing
+from palisade.llm import chat, debruijn, decontaminate, lines, mixing, pieces, pii, ranked, simhash, tokens, toxicity, trie, winnowing
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -103,6 +103,10 @@ def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.opened_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -116,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_piece_encoding": op12_piece_encoding,
+    "op13_conversation_trie": op13_conversation_trie,
 }

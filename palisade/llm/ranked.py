@@ -149,7 +149,10 @@ class Best:
         return self.kept[0][0] if len(self.kept) == self.top else 1
 
 
-def search(shard: Shard, terms: np.ndarray, best: Best, ids: np.ndarray, known: np.ndarray) -> int:
+def search(
+    shard: Shard, terms: np.ndarray, best: Best, ids: np.ndarray, known: np.ndarray,
+    few: int = FEW_DOCS,
+) -> int:
     """Show ``best`` all documents of the shard that may enter it; returns how many were scored."""
     if not shard.n_docs or not len(terms):
         return 0
@@ -163,7 +166,7 @@ def search(shard: Shard, terms: np.ndarray, best: Best, ids: np.ndarray, known:
             taken.append(heapq.heappop(agenda))
         now, later = [], []
         for _, begin, end, at in taken:
-            if end - begin <= FEW_DOCS:
+            if end - begin <= few:
                 now.append((begin, end))
             else:  # the split document itself, and what lies on both sides
                 now.append((at, at + 1))
@@ -256,6 +259,7 @@ def _ranked(counted: DataFrame, wanted: _Wanted, item_type: DataType) -> DataFra
     item_kind, item_arrow = item_type.simpleString(), to_arrow_type(item_type)
     kind = counted.schema["doc_id"].dataType.simpleString()
     shared = counted.sparkSession.sparkContext.broadcast(wanted)
+    few, enough = FEW_DOCS, SHARD_POSTINGS
 
     def flush(held: list[pa.RecordBatch], best: list[Best], wanted: _Wanted) -> None:
         ids, known, lengths, rows, terms, impacts, at = [], [], [], [], [], [], 0
@@ -284,7 +288,7 @@ def _ranked(counted: DataFrame, wanted: _Wanted, item_type: DataType) -> DataFra
         )
         doc_ids, has_id = np.concatenate(ids)[order], np.concatenate(known)[order]
         for item_terms, kept in zip(wanted.terms, best):
-            search(shard, item_terms, kept, doc_ids, has_id)
+            search(shard, item_terms, kept, doc_ids, has_id, few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
@@ -294,7 +298,7 @@ def _ranked(counted: DataFrame, wanted: _Wanted, item_type: DataType) -> DataFra
             doc_type = batch.schema.field(0).type
             held.append(batch)
             size += len(batch.column(2).flatten())
-            if size >= SHARD_POSTINGS:
+            if size >= enough:
                 flush(held, best, wanted)
                 held, size = [], 0
         flush(held, best, wanted)

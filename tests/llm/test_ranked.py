@@ -70,7 +70,7 @@ def test_equals_scoring_everything(spark, monkeypatch, top, shard, few):
 
 def test_items_in_blocks(spark):
     docs = data.frame(spark)
-    got = found(ranked.search_items(docs, items_frame(spark), block_pairs=5))
+    got = found(ranked.search_items(docs, items_frame(spark), block_pairs=150))
     assert got == expected([r[:2] for r in data.rows()], ITEMS)
 
 
