@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +17,7 @@ from palisade.llm.rows import by_bytes
 
 SPACE = "▁"
 BATCH_BYTES = 2_000_000  # of text encoded, decoded and checked at a time
-CACHED_UNITS = 600_000  # units of a generation whose ids a worker keeps; it holds two
+CACHED_UNITS = 700_000  # units, and parts of units, of a generation whose ids a worker keeps
 CACHED_CHARS = 64  # longer units are encoded each time
 
 # A unit: a run of spaces and what follows up to the next space.
@@ -31,14 +31,37 @@ def _every_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("palisade.every_byte", _every_byte)
 
 
+class _Remembered(dict):
+    """Results by key, computed when first asked for; rarely used ones are forgotten.
+
+    It holds two generations. Keys asked for again move on to the younger one.
+    """
+
+    def __init__(self, compute: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= CACHED_UNITS:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class PieceCodec:
     """Encodes and decodes like the library, by an agenda of symbol pairs.
 
     The vocabulary must be of the merge type with byte fallback, its
     normaliser must only mark spaces and put one before the text; other models
-    are refused. Where no piece holds a space after another character, merges
-    cannot cross from one unit into the next, so units are encoded one by one
-    and each distinct unit once per worker.
+    are refused. A symbol can only grow over two neighbouring characters if
+    some piece holds both side by side. Where none does, the text is cut and
+    the parts are encoded apart, each distinct one once per worker: first at
+    spaces, then at all such places.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,7 +83,10 @@ class PieceCodec:
         self._byte = {int(names[i][3:5], 16): _packed([i]) for i in byte_ids}
         # symbols are compared with spaces unmarked, as texts hold them
         self._id = {names[i].replace(SPACE, " "): _packed([i]) for i in plain}
-        self._cost = {names[i].replace(SPACE, " "): -library.get_score(i) for i in plain}
+        levels = {score: i for i, score in enumerate(
+            sorted({library.get_score(i) for i in plain}, reverse=True)
+        )}
+        self._rank = {names[i].replace(SPACE, " "): levels[library.get_score(i)] for i in plain}
         self._surface = [
             b"" if library.is_control(i)
             else " ⁇ ".encode() if library.is_unknown(i)
@@ -71,53 +97,70 @@ class PieceCodec:
         self._starts_with_space = [
             names[i].startswith(SPACE) and not library.is_byte(i) for i in ids
         ]
-        self._separable = not any(" " in s.lstrip(" ") for s in self._id)
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._joined = {piece[i:i + 2] for piece in self._id for i in range(len(piece) - 1)}
+        self._separable = not any(pair[1] == " " and pair != "  " for pair in self._joined)
+        self._parts = _Remembered(self.part_ids)
+        self._units = _Remembered(self.unit_ids)
         self._begin, self._end = _packed([library.bos_id()]), _packed([library.eos_id()])
 
     def merged(self, unit: str) -> list[str]:
         """The symbols left when no adjacent pair is a piece.
 
         The agenda holds the pairs that are pieces, best score first, then
-        leftmost. A pair is stale if one of its symbols has changed since.
+        leftmost: rank of the score, places of both symbols, length. A pair is
+        stale if one of its symbols has changed since.
         """
-        symbols = list(unit)
-        cost = self._cost
-        agenda = [
-            (cost[pair], i, i + 1, 2)
-            for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if pair in cost
-        ]
+        symbols, rank_of, agenda = list(unit), self._rank.get, []
+        for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])):
+            rank = rank_of(pair)
+            if rank is not None:
+                agenda.append((rank, i, i + 1, 2))
         if not agenda:
             return symbols
+        push, pop, n = heapq.heappush, heapq.heappop, len(symbols)
         heapq.heapify(agenda)
-        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
-            _, left, right, size = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right]:
-                continue
+            _, left, right, size = pop(agenda)
             pair = symbols[left] + symbols[right]
-            if len(pair) != size:
+            if len(pair) != size or not symbols[left] or not symbols[right]:
                 continue
             symbols[left], symbols[right] = pair, ""
             follower = after[left] = after[right]
             if follower < n:
                 before[follower] = left
                 longer = pair + symbols[follower]
-                if longer in cost:
-                    heapq.heappush(agenda, (cost[longer], left, follower, len(longer)))
+                rank = rank_of(longer)
+                if rank is not None:
+                    push(agenda, (rank, left, follower, len(longer)))
             leader = before[left]
             if leader >= 0:
                 longer = symbols[leader] + pair
-                if longer in cost:
-                    heapq.heappush(agenda, (cost[longer], leader, left, len(longer)))
+                rank = rank_of(longer)
+                if rank is not None:
+                    push(agenda, (rank, leader, left, len(longer)))
         return [symbol for symbol in symbols if symbol]
 
+    def parts(self, unit: str) -> list[str]:
+        """The unit, cut between characters that no piece holds side by side."""
+        joined, begin, out = self._joined, 0, []
+        if joined.issuperset(map(str.__add__, unit, unit[1:])):
+            return [unit]
+        for i, pair in enumerate(map(str.__add__, unit, unit[1:]), 1):
+            if pair not in joined:
+                out.append(unit[begin:i])
+                begin = i
+        out.append(unit[begin:])
+        return out
+
     def unit_ids(self, unit: str) -> bytes:
-        """Packed ids of one unit; symbols outside the vocabulary become bytes."""
+        """Packed ids of one unit."""
+        return b"".join(map(self._parts.__getitem__, self.parts(unit)))
+
+    def part_ids(self, part: str) -> bytes:
+        """Packed ids of one part; symbols outside the vocabulary become bytes."""
         ids = []
-        for symbol in self.merged(unit):
+        for symbol in self.merged(part):
             known = self._id.get(symbol)
             if known is not None:
                 ids.append(known)
@@ -131,17 +174,7 @@ class PieceCodec:
             return self._begin + self._end
         marked = " " + text.replace(SPACE, " ")
         units = _UNIT.findall(marked) if self._separable else [marked]
-        known, older, long = self._known, self._older, []
-        for unit in set(units).difference(known):
-            known[unit] = older.get(unit) or self.unit_ids(unit)
-            if len(unit) > CACHED_CHARS:
-                long.append(unit)
-        packed = b"".join([self._begin, *map(known.__getitem__, units), self._end])
-        for unit in long:
-            del known[unit]
-        if len(known) > CACHED_UNITS:  # units that come again move on from the older ones
-            self._known, self._older = {}, known
-        return packed
+        return b"".join([self._begin, *map(self._units.__getitem__, units), self._end])
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; a byte that is no part of a character gives U+FFFD."""

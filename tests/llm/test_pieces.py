@@ -50,7 +50,7 @@ def test_results_do_not_depend_on_what_is_cached(monkeypatch):
     fresh = pieces.PieceCodec(PATH)
     for text in ["a long-winded text of words", "words of a longer kind", "a long-winded text of words"]:
         assert np.frombuffer(fresh.encode(text), "<u4").tolist() == ids_of(text)
-        assert len(fresh._known) <= 3 and all(len(unit) <= 4 for unit in fresh._older)
+        assert len(fresh._units) <= 3 and all(len(unit) <= 4 for unit in fresh._units.older)
 
 
 def test_every_row_is_encoded_checked_and_decoded(spark):
