@@ -174,7 +174,7 @@ def attacker_profile(alerts: DataFrame, sources: DataFrame | None = None) -> Dat
         hacks = hacks.join(sources.select("src_ip"), "src_ip", "left_semi")
 
     seen = F.struct("at", "timestamp")
-    combinations = (
+    return profiles_of(
         hacks.withColumn("at", _time_order())
         .groupBy("src_ip", "attack_type", "signature", "dst_port")
         .agg(
@@ -185,6 +185,14 @@ def attacker_profile(alerts: DataFrame, sources: DataFrame | None = None) -> Dat
         )
     )
 
+
+def profiles_of(combinations: DataFrame) -> DataFrame:
+    """The profiles, from hacks counted per source, attack type, signature and port.
+
+    ``rows``, ``max_risk`` and the ``oldest`` and ``newest`` hack (``at``,
+    ``timestamp``); a combination may come in several rows.
+    """
+
     def facet(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
 
@@ -196,7 +204,7 @@ def attacker_profile(alerts: DataFrame, sources: DataFrame | None = None) -> Dat
             facet("port", F.col("dst_port")),
         )),
     )
-    # each combination has exactly one type facet: it carries the row count
+    # each row has exactly one type facet: it carries the row count
     distinct = facets.groupBy("src_ip", "kind", "value").agg(
         F.sum(F.when(F.col("kind") == "type", F.col("rows"))).alias("rows"),
         F.max("max_risk").alias("max_risk"),

@@ -116,3 +116,35 @@ PROFILES = T.StructType([
     T.StructField("created_at", T.TimestampType()),
     T.StructField("updated_at", T.TimestampType()),
 ])
+
+_POSITION = T.StructType([
+    T.StructField("created_at", T.TimestampType()),
+    T.StructField("id", T.LongType()),
+])
+_SEEN = T.StructType([T.StructField("at", _POSITION), T.StructField("timestamp", T.StringType())])
+
+# Roll-up of the alerts of a batch, mergeable with that of other batches.
+ROLLUP = T.StructType([
+    T.StructField("src_ip", T.StringType()),
+    T.StructField("dst_port", T.LongType()),
+    T.StructField("attack_type", T.StringType()),
+    T.StructField("signature", T.StringType()),
+    T.StructField("hacks", T.LongType()),
+    T.StructField("first_seen", T.TimestampType()),
+    T.StructField("last_seen", T.TimestampType()),
+    T.StructField("first_hack", T.TimestampType()),
+    T.StructField("last_hack", T.TimestampType()),
+    T.StructField("max_risk", T.LongType()),
+    T.StructField("top_risk", T.LongType()),
+    T.StructField("oldest", _SEEN),
+    T.StructField("newest", _SEEN),
+    T.StructField("newest_ttl", T.StructType([
+        T.StructField("at", _POSITION), T.StructField("ttl", T.LongType()),
+    ])),
+])
+
+# Key figures, one row.
+KPIS = T.StructType([
+    T.StructField(name, T.LongType())
+    for name in ("total", "hacks", "critical", "suppressed", "hack_percent", "suppressed_percent")
+])

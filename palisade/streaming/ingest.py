@@ -1,7 +1,8 @@
-"""Continuous ingest: lines to stored alerts, facts and profiles.
+"""Continuous ingest: lines to stored alerts, roll-up and profiles.
 
-Every table is written one partition per micro-batch, and a batch that runs
-again after a failure replaces its own partition, so nothing is added twice.
+Every table is a :class:`SnapshotTable` written one part per micro-batch. A
+batch that runs again after a failure replaces its own part, so nothing is
+added twice. Parts of many batches are merged as the ingest goes on.
 """
 
 from __future__ import annotations
@@ -11,38 +12,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from palisade import fixed_values as fixed
 from palisade.functions.assessment import ARROW
-from palisade.operators import profile, report
+from palisade.operators import profile, report, rollup
 from palisade.operators.enrich import join_ttl
 from palisade.operators.numbering import with_position
 from palisade.operators.score import BatchFunction, assess_profiles, score_alerts
-from palisade.schemas import ALERTS, PROFILES
+from palisade.plans.analytics import AnalystView, analyst_view
+from palisade.schemas import ALERTS, KPIS, PROFILES, ROLLUP
 from palisade.sources.alert_log import parse_alert_lines
-from palisade.sources.tables import (
-    read_batch,
-    read_table,
-    with_batch_id,
-    write_batch,
-)
+from palisade.sources.snapshots import FANOUT, SnapshotTable
 
 POLL_INTERVAL = "10 seconds"
 
-IDS = T.StructType([T.StructField("last_id", T.LongType())])
-
-FACTS = T.StructType([
-    T.StructField("src_ip", T.StringType()),
-    T.StructField("dst_port", T.LongType()),
-    T.StructField("attack_type", T.StringType()),
-    T.StructField("hacks", T.LongType()),
-    T.StructField("first_seen", T.TimestampType()),
-    T.StructField("last_seen", T.TimestampType()),
-    T.StructField("first_hack", T.TimestampType()),
-    T.StructField("last_hack", T.TimestampType()),
-    T.StructField("max_risk", T.LongType()),
-])
+MERGE_EVERY = FANOUT  # batches
 
 
 @dataclass(frozen=True)
@@ -50,17 +35,24 @@ class Tables:
     """Where one ingest keeps its tables, the batch at hand and its progress."""
 
     alerts: str
-    facts: str
+    rollup: str
     profiles: str
     staging: str
     checkpoint: str
-    ids: str
 
     @classmethod
     def below(cls, root: str) -> Tables:
         return cls(*(f"{root.rstrip('/')}/{name}" for name in (
-            "alerts", "attacker_facts", "attacker_profiles", "staging", "checkpoint",
-            "last_ids")))
+            "alerts", "attacker_rollup", "attacker_profiles", "staging", "checkpoint")))
+
+    def alert_table(self, spark: SparkSession) -> SnapshotTable:
+        return SnapshotTable(spark, self.alerts, ALERTS, ranges=["id", "created_at"])
+
+    def rollup_table(self, spark: SparkSession) -> SnapshotTable:
+        return SnapshotTable(spark, self.rollup, ROLLUP, bucket_by="src_ip")
+
+    def profile_table(self, spark: SparkSession) -> SnapshotTable:
+        return SnapshotTable(spark, self.profiles, PROFILES, bucket_by="src_ip")
 
 
 def distinct_lines(
@@ -109,11 +101,7 @@ def parsed_stream(lines: DataFrame) -> DataFrame:
 
 def _numbered(batch: DataFrame, batch_id: int, tables: Tables) -> DataFrame:
     """Ids in log-time order, running on from the last id of the earlier batches."""
-    spark = batch.sparkSession
-    earlier = read_table(spark, tables.ids, with_batch_id(IDS))
-    last = earlier.filter(F.col("batch_id") < batch_id).agg(
-        F.coalesce(F.max("last_id"), F.lit(0).cast("bigint"))
-    ).first()[0]
+    last = tables.alert_table(batch.sparkSession).highest("id", before=batch_id) or 0
     placed = with_position(
         batch, ["timestamp", "line_hash"], at=f"{tables.staging}-numbered"
     )
@@ -138,13 +126,8 @@ def store_batch(
     else:
         alerts = join_ttl(alerts, ttl)
     scored = score_alerts(alerts, scorer)
-    write_batch(
-        scored.select(*(F.col(f.name).cast(f.dataType) for f in ALERTS.fields)),
-        tables.alerts, batch_id,
-    )
-    stored = read_batch(batch.sparkSession, tables.alerts, ALERTS, batch_id)
-    write_batch(stored.agg(F.max("id").alias("last_id")), tables.ids, batch_id)
-    return stored
+    rows = scored.select(*(F.col(f.name).cast(f.dataType) for f in ALERTS.fields))
+    return tables.alert_table(batch.sparkSession).write(rows, batch_id)
 
 
 def profile_batch(
@@ -157,30 +140,29 @@ def profile_batch(
     Only a source with a hack in this batch can newly reach the minimum, so
     the batch decides whom to look at. An assessor also gets ``attack_sequence``,
     the ordered attacks up to this batch (all, or the first ``max_sequence``).
-    Their history comes from the facts
-    of all batches (a few rows per source) instead of from all alerts. A
+    Their history comes from the roll-up, of which only the buckets of this
+    batch's attackers are read, and of those only their own rows are kept. A
     profile is written once and never refreshed; rows of this very batch are
     ignored when looking for existing profiles, so a repeat run rewrites them.
     Its id is that of the attacker's first hack alert in the batch.
     """
     spark = stored.sparkSession
-    write_batch(profile.port_facts(stored), tables.facts, batch_id)
-    facts = read_table(spark, tables.facts, with_batch_id(FACTS))
-    profiles = read_table(spark, tables.profiles, with_batch_id(PROFILES))
+    rollups, profiles = tables.rollup_table(spark), tables.profile_table(spark)
+    rollups.write(rollup.roll_up(stored), batch_id)
     attackers = (
         stored.filter(F.col("llm_classification") == "hack")
         .groupBy("src_ip").agg(F.min("id").alias("id"))
     )
     candidates = profile.without_profile(
-        attackers, profiles.filter(F.col("batch_id") < batch_id)
+        attackers, profiles.read(before=batch_id, buckets=profiles.buckets_of(attackers))
     )
-    history = facts.filter(F.col("batch_id") <= batch_id).join(
+    history = touched_rollup(rollups, attackers, batch_id + 1).join(
         candidates, "src_ip", "left_semi"
     )
     due = profile.profile_facts(history).join(candidates, "src_ip")
     if assessor is not None:
         due = due.join(
-            _sequences(stored, facts.filter(F.col("batch_id") < batch_id), due, tables,
+            _sequences(stored, touched_rollup(rollups, attackers, batch_id), due, tables,
                        max_sequence),
             "src_ip", "left",
         )
@@ -190,12 +172,33 @@ def profile_batch(
         .withColumn("created_at", F.col("last_seen"))
         .withColumn("updated_at", F.col("last_seen"))
     )
-    write_batch(
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in PROFILES.fields)),
-        tables.profiles, batch_id,
+    profiles.write(
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in PROFILES.fields)), batch_id
     )
 
 
+def touched_rollup(rollups: SnapshotTable, sources: DataFrame, before: int) -> DataFrame:
+    """The roll-up of earlier batches in the buckets of ``sources``."""
+    return rollups.read(before=before, buckets=rollups.buckets_of(sources))
+
+
+def maintain(
+    spark: SparkSession, tables: Tables, *, fanout: int = FANOUT, keep_seconds: float = 3600
+) -> None:
+    """Merge the parts of all tables and delete what is no longer needed.
+
+    Runs within the ingest; may also run beside it. Readers are not disturbed
+    for ``keep_seconds``.
+    """
+    for table, combine in (
+        (tables.alert_table(spark), None),
+        (tables.rollup_table(spark), rollup.merged),
+        (tables.profile_table(spark), None),
+    ):
+        table.merge(combine, fanout=fanout)
+        table.vacuum(keep_seconds=keep_seconds)
+
+
 def _sequences(
     stored: DataFrame, earlier: DataFrame, due: DataFrame, tables: Tables,
     max_sequence: int | None = None,
@@ -234,6 +237,7 @@ def start_ingest(
     scorer: BatchFunction | None = None,
     assessor: BatchFunction | None = None,
     max_sequence: int | None = None,
+    merge_every: int | None = MERGE_EVERY,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Start the ingest of a streaming frame of raw lines.
@@ -241,7 +245,8 @@ def start_ingest(
     Polls on a fixed interval, or with ``available_now`` works off what is
     there and stops. ``ttl`` is called for every batch that has alerts, so it
     sees flow logs that arrived in the meantime. ``max_sequence`` limits the
-    steps an assessor is given; by default it gets all.
+    steps an assessor is given; by default it gets all. Every ``merge_every``
+    batches the tables are maintained (``None``: leave that to a job of yours).
     """
 
     session = lines.sparkSession
@@ -258,6 +263,8 @@ def start_ingest(
             staged, batch_id, tables, ttl=ttl and ttl(), scorer=scorer
         )
         profile_batch(stored, batch_id, tables, assessor, max_sequence)
+        if merge_every and (batch_id + 1) % merge_every == 0:
+            maintain(session, tables, fanout=max(2, merge_every))
 
     writer = (
         parsed_stream(lines).writeStream.foreachBatch(handle)
@@ -271,10 +278,16 @@ def start_ingest(
 def start_kpis(
     alerts: DataFrame, path: str, checkpoint: str, *, available_now: bool = False
 ) -> StreamingQuery:
-    """Keep the key figures of a scored alert stream up to date at ``path``."""
+    """Keep the key figures of a scored alert stream up to date at ``path``.
 
-    def replace(figures: DataFrame, _: int) -> None:
-        figures.write.mode("overwrite").parquet(path)
+    Each refresh is a version of its own, so :func:`current_kpis` always finds
+    one whole set of figures.
+    """
+    table = _kpi_table(alerts.sparkSession, path)
+
+    def replace(figures: DataFrame, batch_id: int) -> None:
+        table.write(figures, batch_id, alone=True)
+        table.vacuum()
 
     writer = (
         report.kpis(alerts).writeStream.outputMode("complete").foreachBatch(replace)
@@ -285,15 +298,54 @@ def start_kpis(
     return writer.trigger(processingTime=POLL_INTERVAL).start()
 
 
+def _kpi_table(spark: SparkSession, path: str) -> SnapshotTable:
+    return SnapshotTable(spark, path, KPIS)
+
+
+def current_kpis(spark: SparkSession, path: str) -> DataFrame:
+    """The key figures of the newest refresh; no rows before the first."""
+    return _kpi_table(spark, path).read().drop("batch_id")
+
+
 def stored_alerts(spark: SparkSession, tables: Tables) -> DataFrame:
-    return read_table(spark, tables.alerts, with_batch_id(ALERTS)).select(*ALERTS.fieldNames())
+    return tables.alert_table(spark).read().drop("batch_id")
+
+
+def newest_alerts(
+    spark: SparkSession, tables: Tables, limit: int = fixed.NEWEST_ROWS
+) -> DataFrame:
+    """The newest alerts; only parts that can hold one of them are opened."""
+    rows = tables.alert_table(spark).newest("created_at", limit)
+    return report.newest_alerts(rows.drop("batch_id"), limit)
+
+
+def stored_rollup(spark: SparkSession, tables: Tables) -> DataFrame:
+    return tables.rollup_table(spark).read().drop("batch_id")
+
+
+def stored_view(
+    spark: SparkSession, tables: Tables, *,
+    population_limit: int | None = fixed.NEWEST_ROWS, **options,
+) -> AnalystView:
+    """The analyst's view of the stored alerts.
+
+    Profiles come from the roll-up and the newest alerts from the parts that
+    hold them, so that a refresh does not read the whole table.
+    """
+    alerts = stored_alerts(spark, tables)
+    newest = None if population_limit is None else newest_alerts(spark, tables, population_limit)
+    return analyst_view(
+        alerts, population_limit=population_limit, newest=newest,
+        rollups=stored_rollup(spark, tables), **options,
+    )
 
 
 def batch_counts(spark: SparkSession, tables: Tables) -> DataFrame:
     """New alerts per batch."""
-    stored = read_table(spark, tables.alerts, with_batch_id(ALERTS))
-    return stored.groupBy("batch_id").agg(F.count(F.lit(1)).alias("alerts"))
+    return tables.alert_table(spark).read().groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("alerts")
+    )
 
 
 def stored_profiles(spark: SparkSession, tables: Tables) -> DataFrame:
-    return read_table(spark, tables.profiles, with_batch_id(PROFILES)).select(*PROFILES.fieldNames())
+    return tables.profile_table(spark).read().drop("batch_id")

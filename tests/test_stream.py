@@ -94,9 +94,7 @@ def test_repeated_batch_adds_nothing(feed, spark, rows):
     feed.land(line(1), line(2), line(3, ip="10.0.0.2"))
     feed.run()
     before, profiles = rows(feed.alerts()), feed.profiles()
-    stored = tables.read_table(
-        spark, feed.tables.alerts, tables.with_batch_id(ingest.ALERTS)
-    ).cache()
+    stored = feed.tables.alert_table(spark).read().cache()
     (batch_id,) = {r[0] for r in stored.select("batch_id").distinct().collect()}
     again = spark.createDataFrame(stored.collect(), stored.schema).withColumn("line_hash", F.unhex(F.md5("timestamp")))
     again = again.drop("id", "batch_id")
@@ -147,7 +145,7 @@ def test_key_figures_of_a_stream(feed, spark):
         scored = score.score_alerts(ingest.parsed_stream(stream))
         ingest.start_kpis(scored, path, path + "-progress", available_now=True).awaitTermination()
         feed.land(line(4))
-    figures = spark.read.parquet(path).first()
+    figures = ingest.current_kpis(spark, path).first()
     assert (figures["total"], figures["hacks"], figures["critical"]) == (4, 3, 3)
     lines = read_lines(spark, str(feed.folder)).select("value").distinct()
     batch = report.kpis(score.score_alerts(parse_alert_lines(lines, grammar="live")))

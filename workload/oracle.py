@@ -523,6 +523,7 @@ ORACLE_SQL: dict[str, str] = {
     # analytics
     "newest_alerts": _with(_TIMED, "newest"),
     "newest_stored_alerts": _with(_TIMED, "newest"),
+    "newest_alerts_of_parts": _with(_TIMED, "newest"),
     "newest_alerts_13": _with(
         """
         SELECT "timestamp", signature, src_ip, dst_ip, llm_classification, attack_type,
@@ -627,6 +628,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "attacker_profile": _with(_flat_profile(_SEEN_HACKS), "hacks", "newest", "steps"),
     "attacker_profile_whole_table": _with(_flat_profile("hacks"), "hacks", "steps"),
+    "attacker_profile_rollup": _with(_flat_profile("hacks"), "hacks", "steps"),
     "attacker_os": _with(
         f"""
         SELECT src_ip, ttl, {_OS} AS os
@@ -695,6 +697,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "stream_ingest": _with(_INGESTED, "live", "ttls"),
     "stream_ingest_batches": _with(_INGESTED, "live", "ttls"),
+    "stream_ingest_merged": _with(_INGESTED, "live", "ttls"),
     "stream_profile_sequence": _with(
         f"""
         SELECT src_ip, count(*) AS attack_count,
@@ -721,3 +724,5 @@ ORACLE_SQL: dict[str, str] = {
         _KPIS.format(f"(SELECT {_VERDICTS} FROM ({_SCORED_LIVE.format(_LIVE_ONCE)}))"), "live"
     ),
 }
+
+ORACLE_SQL["attacker_os_rollup"] = ORACLE_SQL["attacker_os"]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from palisade import schemas
 from palisade.functions import assessment, bands, labels
 from palisade.operators import dataset as ds
-from palisade.operators import enrich, profile, report, score
+from palisade.operators import enrich, profile, report, rollup, score
 from palisade.plans import analytics
 from palisade.plans.dataset import build_dataset, read_alert_logs
 from palisade.session import fresh_path
@@ -25,6 +25,7 @@ from palisade.sources.alert_log import (
 )
 from palisade.sources.eve import parse_flow_lines, parse_ttl_lines
 from palisade.sources.lines import newest_lines
+from palisade.sources.snapshots import SnapshotTable
 from palisade.streaming import ingest
 from workload import binding
 
@@ -324,6 +325,17 @@ def newest_stored_alerts(spark, sf_dir):
     return _with_text_time(report.newest_stored_alerts(spark.read.parquet(path)))
 
 
+@query
+def newest_alerts_of_parts(spark, sf_dir):
+    """Over a table that grew batch by batch; only parts that can hold a row are opened."""
+    table = SnapshotTable(spark, fresh_path(spark, "parts"), schemas.ALERTS, ranges=["created_at"])
+    alerts = _alerts(spark, sf_dir)
+    for batch, rows in enumerate(_by_id(alerts, 6)):
+        table.write(rows, batch)
+    table.merge(fanout=3)
+    return _with_text_time(report.newest_alerts(table.newest("created_at", 500).drop("batch_id")))
+
+
 @query
 def newest_alerts_13(spark, sf_dir):
     return report.recent_listing(_alerts(spark, sf_dir))
@@ -506,6 +518,33 @@ def attacker_os(spark, sf_dir):
     return profile.attacker_os(_alerts(spark, sf_dir))
 
 
+def _by_id(alerts: DataFrame, batches: int) -> list[DataFrame]:
+    """The alerts as that many batches, in order of their ids."""
+    first, last = alerts.agg(F.min("id"), F.max("id")).first()
+    batch = F.floor((F.col("id") - F.lit(first)) * batches / F.lit(last - first + 1))
+    return [alerts.filter(batch == i) for i in range(batches)]
+
+
+def _stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up of the alerts, kept batch by batch and merged on the way."""
+    path = fresh_path(spark, "rollup")
+    table = SnapshotTable(spark, path, schemas.ROLLUP, bucket_by="src_ip", buckets=8)
+    for batch, rows in enumerate(_by_id(_alerts(spark, sf_dir), 5)):
+        table.write(rollup.roll_up(rows), batch)
+        table.merge(rollup.merged, fanout=3)
+    return table.read().drop("batch_id")
+
+
+@query
+def attacker_profile_rollup(spark, sf_dir):
+    return _flat(rollup.attacker_profile(_stored_rollup(spark, sf_dir)))
+
+
+@query
+def attacker_os_rollup(spark, sf_dir):
+    return rollup.attacker_os(_stored_rollup(spark, sf_dir))
+
+
 def _stored_view(spark: SparkSession, sf_dir: str, **options) -> analytics.AnalystView:
     """The view over a stored table, read anew."""
     path = fresh_path(spark, "stored-alerts")
@@ -647,6 +686,21 @@ def stream_ingest_batches(spark, sf_dir):
     return ingest.stored_alerts(spark, where).drop("id", "created_at")
 
 
+@query
+def stream_ingest_merged(spark, sf_dir):
+    """As several batches, the tables' parts being merged on the way."""
+    where = ingest.Tables.below(fresh_path(spark, "ingest"))
+    events = binding.events_stream_of_files(spark, sf_dir, fresh_path(spark, "landing"), files=5)
+
+    def ttl() -> DataFrame:
+        return enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
+
+    ingest.start_ingest(
+        binding.alert_lines(events).select("value"), where, ttl=ttl, available_now=True, merge_every=2,
+    ).awaitTermination()
+    return ingest.stored_alerts(spark, where).drop("id", "created_at")
+
+
 @query
 def stream_profile_sequence(spark, sf_dir):
     """Profiles whose assessor repeats the attack sequence it was given."""
@@ -683,4 +737,4 @@ def stream_kpis(spark, sf_dir):
     ingest.start_kpis(
         scored, path, f"{path}-progress", available_now=True
     ).awaitTermination()
-    return spark.read.parquet(path)
+    return ingest.current_kpis(spark, path)
