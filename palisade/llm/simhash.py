@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm import jaccard
 from palisade.llm.components import connected_components
 from palisade.llm.rows import (
     KEY, by_bytes, join_by_row, join_grouped, row_key, small_or_not, stored,
@@ -60,17 +59,22 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (long) of every row; a null text has no words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """``doc_id``, ``fingerprint`` (long) of every row; a null text has no words.
+
+    A column ``_llm_key`` is kept if there is one.
+    """
+    names = [name for name in (KEY, "doc_id") if name in docs.columns]
+    given = docs.select(*names, "text")
+    kinds = "".join(f"{name} {given.schema[name].dataType.simpleString()}, " for name in names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _MOVED):
-            values = [fingerprint(text or "", words, seed) for text in batch.column(1).to_pylist()]
+            values = [fingerprint(text or "", words, seed) for text in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fingerprint"]
+                [*batch.columns[:-1], pa.array(values, pa.int64())], [*names, "fingerprint"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fingerprint bigint")
+    return given.mapInArrow(rows, f"{kinds}fingerprint bigint")
 
 
 # --- partition of the bits and thresholds -----------------------------------
@@ -323,29 +327,32 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Repeated rows each get a row, null texts count as empty, null ids never
     name a component unless it has no other. Other columns are ignored.
     """
-    prints = stored(fingerprints(docs), "fingerprints")
-    signed = prints.select(
-        "doc_id", F.array("fingerprint").alias("probes"),
-        F.array().cast("array<bigint>").alias("wide"),
-    )
     hexed = F.lpad(F.lower(F.hex(F.col("probes")[0])), 16, "0")
-    return classes(signed, distance).select(
+    return classes(_signed_rows(docs), distance).select(
         "doc_id", hexed.alias("fingerprint"), "component_id"
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def _signed_rows(docs: DataFrame) -> DataFrame:
+    prints = stored(fingerprints(docs), "fingerprints")
+    return prints.select(
+        *(name for name in prints.columns if name != "fingerprint"),
+        F.array("fingerprint").alias("probes"), F.array().cast("array<bigint>").alias("wide"),
+    )
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``docs`` without near-duplicates: of each group one row stays, all columns.
 
-    Documents are near if the Jaccard similarity of their five-word shingles is
-    0.8 or more, verified on the shingles; groups are what that connects. The
-    row with the smallest ``doc_id`` stays (ties: by a hash of the text; a null
-    id only if the group has no other). Texts without words are one group; null
-    texts count as empty. Repeated rows are one document.
+    Groups are those of :func:`near_duplicates`: what links of at most
+    ``distance`` differing bits connect. The row with the smallest ``doc_id``
+    stays (ties: by a hash of the text; a null id only if the group has no
+    other). Texts without words are one group; null texts count as empty.
+    Repeated rows are one document.
     """
-    found = jaccard.classes(docs)
+    own = docs.withColumn(KEY, row_key())
+    found = classes(_signed_rows(own), distance)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
         "component"
     ).agg(F.min(KEY).alias(KEY), F.first("doc_id").alias("doc_id")).select(KEY, "doc_id")
-    own = docs.withColumn(KEY, row_key())
     return join_by_row(own, stays, "inner").dropDuplicates([KEY, "doc_id"]).select(*docs.columns)
