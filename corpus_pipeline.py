@@ -33,12 +33,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of two lines or more that stood before."""
-    return _recounted(lines.dedup_passages(docs).select(*docs.columns))
+    """All documents, without chunks of several lines that stood before."""
+    return _recounted(lines.dedup_lines(docs).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group whose SimHash fingerprints differ in at most 3 bits."""
     return simhash.one_of_each(docs)
 
 
