@@ -53,9 +53,10 @@ def join_grouped(
 
     Joining on a hash of the keys as well makes both sides shuffle for the join
     itself. Otherwise the grouping's own shuffle would serve, which adaptive
-    execution cannot split where one key holds many rows of ``left``.
+    execution cannot split where one key holds many rows of ``left``. One bit
+    is enough for that, and takes no room in the shuffle.
     """
-    spread = F.xxhash64(*keys)
+    spread = F.pmod(F.xxhash64(*keys), F.lit(2))
     joined = left.withColumn("_llm_spread", spread).join(
         grouped.withColumn("_llm_spread", spread), [*keys, "_llm_spread"], how
     )
