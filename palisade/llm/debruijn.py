@@ -79,8 +79,8 @@ def _document_paths(docs: DataFrame, span: int, core: int) -> DataFrame:
 
 
 def _edges_of(wanted: DataFrame, span: int) -> DataFrame:
-    """``edge_a``, ``edge_b``, the path's hashes and the edge's offset in the path."""
-    names = ["edge_a", "edge_b", *_PATH, "offset"]
+    """``edge_a``, ``edge_b``, the path's number and the edge's offset in the path."""
+    names = ["edge_a", "edge_b", "path", "offset"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _MOVED):
@@ -92,13 +92,12 @@ def _edges_of(wanted: DataFrame, span: int) -> DataFrame:
                 start = np.repeat([x["first"] for x in asked], count) + offset
                 yield pa.RecordBatch.from_arrays([
                     pa.array(a[start].view(np.int64)), pa.array(b[start].view(np.int64)),
-                    *(pa.array(np.repeat(np.array([x[c] for x in asked], np.int64), count))
-                      for c in _PATH),
+                    pa.array(np.repeat(np.array([x["path"] for x in asked], np.int64), count)),
                     pa.array(offset, pa.int32()),
                 ], names)
 
     return wanted.mapInArrow(
-        cut, "edge_a bigint, edge_b bigint, core bigint, path_a bigint, path_b bigint, offset int"
+        cut, "edge_a bigint, edge_b bigint, path bigint, offset int"
     )
 
 
@@ -214,19 +213,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, core: int = CORE) -> DataF
     # a tuple of firsts belongs to one row: any place of a path will do
     distinct = stored(candidates.filter("varied").groupBy(*_PATH).agg(
         F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in [*_PLACE, "first", "edges"])
-    ), "distinct")
+    ).withColumn("path", F.monotonically_increasing_id()), "distinct")
     asked = distinct.groupBy(*_PLACE).agg(
-        F.collect_list(F.struct("first", "edges", *_PATH)).alias("asked")
+        F.collect_list(F.struct("first", "edges", "path")).alias("asked")
     )
     edges = _edges_of(_with_text(docs, asked, ["text", "asked"]), span)
     both = ["edge_a", "edge_b"]
     shared = edges.groupBy(*both).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = join_grouped(edges, shared.select(*both), both).groupBy(*_PATH).agg(
+    # the path's number is short; its hashes come back once its edges are grouped
+    parts = join_grouped(edges, shared.select(*both), both).groupBy("path").agg(
         F.collect_list("offset").alias("offsets")
     )
     # a path that is repeated as a whole needs no parts
-    once = distinct.filter("n = 1").select(*_PATH)
-    parts = parts.join(once, _PATH, "left_semi")
+    once = distinct.filter("n = 1").select("path", *_PATH)
+    parts = parts.join(once, "path").drop("path")
     starts = F.transform("offsets", lambda o: F.col("first") + o)
     partly = join_grouped(candidates, parts, _PATH).select(*_PLACE, F.explode(starts).alias("a")).withColumn(
         "b", F.col("a") + F.lit(span)
