@@ -49,6 +49,18 @@ def latest_ttl(ttl_records: DataFrame) -> DataFrame:
     )
 
 
+def newest_ttl(ttl_records: DataFrame) -> DataFrame:
+    """The last report of each source with its place.
+
+    What is left can stand for the records it was made from: the newest of
+    several batches' newest reports are the newest of all their records.
+    """
+    return ttl_records.groupBy("src_ip").agg(
+        F.max_by("ttl", "source_order").alias("ttl"),
+        F.max("source_order").alias("source_order"),
+    )
+
+
 def join_ttl(alerts: DataFrame, ttl_by_source: DataFrame) -> DataFrame:
     """Alerts with ``ttl``: 0 for a source never seen, its last value otherwise."""
     known = ttl_by_source.withColumn("_known", F.lit(True))

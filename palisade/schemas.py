@@ -143,6 +143,13 @@ ROLLUP = T.StructType([
     ])),
 ])
 
+# TTL last reported for each source, with the place of the report.
+TTLS = T.StructType([
+    T.StructField("src_ip", T.StringType()),
+    T.StructField("ttl", T.LongType()),
+    T.StructField("source_order", SOURCE_ORDER),
+])
+
 # Key figures, one row.
 KPIS = T.StructType([
     T.StructField(name, T.LongType())

@@ -56,6 +56,7 @@ def stream_lines(
     max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
     max_file_age: str = MAX_FILE_AGE,
     archive: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Lines of the files landing in a folder. Each file is read once.
 
@@ -65,13 +66,39 @@ def stream_lines(
     left out; the default is meant to leave out none. With ``archive``, files
     that were worked off move to that folder, which keeps the list of files
     to remember, and to list, short.
+
+    With ``ordered``, ``source_order`` tells files by the time they were last
+    changed, then by name. A stream cannot number lines, so :func:`number_lines`
+    does that on each micro-batch.
     """
     reader = spark.readStream.option("maxFileAge", max_file_age)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.text(path)
+    lines = reader.text(path)
+    if not ordered:
+        return lines
+    landed = F.unix_millis("_metadata.file_modification_time").cast("string")
+    return lines.select(
+        "value",
+        F.struct(
+            F.lit(0).alias("rank"),
+            F.concat_ws(" ", F.lpad(landed, 15, "0"), "_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.lit(None).cast("bigint").alias("line"),
+        ).cast(SOURCE_ORDER).alias("source_order"),
+    )
+
+
+def number_lines(batch: DataFrame) -> DataFrame:
+    """A micro-batch whose ``source_order`` also orders the lines inside a block.
+
+    To be applied before anything moves the rows, like the running id of
+    :func:`read_lines`. Line numbers that are there already stay.
+    """
+    line = F.coalesce("source_order.line", F.monotonically_increasing_id())
+    return batch.withColumn("source_order", F.col("source_order").withField("line", line))
 
 
 def keep_wanted(df: DataFrame, parsed: Column, wanted, name: str) -> DataFrame:

@@ -17,12 +17,14 @@ from pyspark.sql.streaming import StreamingQuery
 from palisade import fixed_values as fixed
 from palisade.functions.assessment import ARROW
 from palisade.operators import profile, report, rollup
-from palisade.operators.enrich import join_ttl
+from palisade.operators.enrich import join_ttl, latest_ttl, newest_ttl
 from palisade.operators.numbering import with_position
 from palisade.operators.score import BatchFunction, assess_profiles, score_alerts
 from palisade.plans.analytics import AnalystView, analyst_view
-from palisade.schemas import ALERTS, KPIS, PROFILES, ROLLUP
+from palisade.schemas import ALERTS, KPIS, PROFILES, ROLLUP, TTLS
 from palisade.sources.alert_log import parse_alert_lines
+from palisade.sources.eve import parse_ttl_lines
+from palisade.sources.lines import number_lines
 from palisade.sources.snapshots import FANOUT, SnapshotTable
 
 POLL_INTERVAL = "10 seconds"
@@ -39,11 +41,14 @@ class Tables:
     profiles: str
     staging: str
     checkpoint: str
+    ttl: str
+    flow_checkpoint: str
 
     @classmethod
     def below(cls, root: str) -> Tables:
         return cls(*(f"{root.rstrip('/')}/{name}" for name in (
-            "alerts", "attacker_rollup", "attacker_profiles", "staging", "checkpoint")))
+            "alerts", "attacker_rollup", "attacker_profiles", "staging", "checkpoint",
+            "ttl", "flow_checkpoint")))
 
     def alert_table(self, spark: SparkSession) -> SnapshotTable:
         return SnapshotTable(spark, self.alerts, ALERTS, ranges=["id", "created_at"])
@@ -54,6 +59,9 @@ class Tables:
     def profile_table(self, spark: SparkSession) -> SnapshotTable:
         return SnapshotTable(spark, self.profiles, PROFILES, bucket_by="src_ip")
 
+    def ttl_table(self, spark: SparkSession) -> SnapshotTable:
+        return SnapshotTable(spark, self.ttl, TTLS, bucket_by="src_ip")
+
 
 def distinct_lines(
     lines: DataFrame, *, salts: int | None = None, forget_after: str | None = None
@@ -118,18 +126,32 @@ def store_batch(
 ) -> DataFrame:
     """Enrich, score and store one batch of alerts; returns the rows as stored.
 
-    ``ttl`` holds the TTL per source; without it every alert gets 0.
+    ``ttl`` holds the TTL per source; by default that is what the flow ingest
+    has stored by now. An alert of any other source gets 0.
     """
-    alerts = _numbered(batch, batch_id, tables)
     if ttl is None:
-        alerts = alerts.withColumn("ttl", F.lit(0).cast("bigint"))
-    else:
-        alerts = join_ttl(alerts, ttl)
+        ttl = known_ttl(batch.sparkSession, tables, batch)
+    alerts = join_ttl(_numbered(batch.drop("ttl"), batch_id, tables), ttl)
     scored = score_alerts(alerts, scorer)
     rows = scored.select(*(F.col(f.name).cast(f.dataType) for f in ALERTS.fields))
     return tables.alert_table(batch.sparkSession).write(rows, batch_id)
 
 
+def known_ttl(spark: SparkSession, tables: Tables, sources: DataFrame | None = None) -> DataFrame:
+    """``src_ip``, ``ttl``: what the flow ingest has seen last, by source order.
+
+    With ``sources``, only the buckets of these are read, and only their rows kept.
+    """
+    table = tables.ttl_table(spark)
+    if sources is None:
+        return latest_ttl(table.read())
+    if not table.manifest()[1]:
+        return latest_ttl(table.read(buckets=[]))
+    wanted = sources.select("src_ip").distinct()
+    stored = table.read(buckets=table.buckets_of(wanted))
+    return latest_ttl(stored.join(wanted, "src_ip", "left_semi"))
+
+
 def profile_batch(
     stored: DataFrame, batch_id: int, tables: Tables,
     assessor: BatchFunction | None = None,
@@ -188,7 +210,7 @@ def maintain(
     """Merge the parts of all tables and delete what is no longer needed.
 
     Runs within the ingest; may also run beside it. Readers are not disturbed
-    for ``keep_seconds``.
+    for ``keep_seconds``. The TTL table is kept by the flow ingest.
     """
     for table, combine in (
         (tables.alert_table(spark), None),
@@ -199,6 +221,41 @@ def maintain(
         table.vacuum(keep_seconds=keep_seconds)
 
 
+def _started(writer, available_now: bool) -> StreamingQuery:
+    if available_now:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=POLL_INTERVAL).start()
+
+
+def start_flow_ingest(
+    lines: DataFrame,
+    tables: Tables,
+    *,
+    merge_every: int | None = MERGE_EVERY,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Keep the TTL last reported for each source from a streaming frame of flow lines.
+
+    ``lines`` has ``value`` and ``source_order``
+    (:func:`~palisade.sources.lines.stream_lines` with ``ordered``). Each line
+    is parsed once: a batch leaves one row for each source it reports on, and
+    merges keep the newest of them by source order, whichever batch it came
+    with. A batch that runs again replaces its own rows.
+    """
+    table = tables.ttl_table(lines.sparkSession)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        table.write(newest_ttl(parse_ttl_lines(number_lines(batch))), batch_id)
+        if merge_every and (batch_id + 1) % merge_every == 0:
+            table.merge(newest_ttl, fanout=max(2, merge_every))
+            table.vacuum()
+
+    writer = lines.writeStream.foreachBatch(handle).option(
+        "checkpointLocation", tables.flow_checkpoint
+    )
+    return _started(writer, available_now)
+
+
 def _sequences(
     stored: DataFrame, earlier: DataFrame, due: DataFrame, tables: Tables,
     max_sequence: int | None = None,
@@ -243,10 +300,11 @@ def start_ingest(
     """Start the ingest of a streaming frame of raw lines.
 
     Polls on a fixed interval, or with ``available_now`` works off what is
-    there and stops. ``ttl`` is called for every batch that has alerts, so it
-    sees flow logs that arrived in the meantime. ``max_sequence`` limits the
-    steps an assessor is given; by default it gets all. Every ``merge_every``
-    batches the tables are maintained (``None``: leave that to a job of yours).
+    there and stops. TTLs are those :func:`start_flow_ingest` has stored by the
+    time of the batch; ``ttl`` names another place to get them, called for
+    every batch that has alerts. ``max_sequence`` limits the steps an assessor
+    is given; by default it gets all. Every ``merge_every`` batches the tables
+    are maintained (``None``: leave that to a job of yours).
     """
 
     session = lines.sparkSession
@@ -270,9 +328,7 @@ def start_ingest(
         parsed_stream(lines).writeStream.foreachBatch(handle)
         .option("checkpointLocation", tables.checkpoint)
     )
-    if available_now:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=POLL_INTERVAL).start()
+    return _started(writer, available_now)
 
 
 def start_kpis(
@@ -293,9 +349,7 @@ def start_kpis(
         report.kpis(alerts).writeStream.outputMode("complete").foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
     )
-    if available_now:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=POLL_INTERVAL).start()
+    return _started(writer, available_now)
 
 
 def _kpi_table(spark: SparkSession, path: str) -> SnapshotTable:

@@ -1,3 +1,4 @@
+import json
 import os
 
 import pandas as pd
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from data import LINE
 from palisade.operators import profile, report, score
+from palisade.operators.enrich import newest_ttl
 from palisade.sources import tables
 from palisade.sources.alert_log import parse_alert_lines
 from palisade.sources.lines import read_lines, stream_lines
@@ -239,3 +241,63 @@ def test_lines_may_be_forgotten_after_a_time(spark, tmp_path):
     ).trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination()
     assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def flow(ip, ttl, **other):
+    return json.dumps({"src_ip": ip, "ttl": ttl, "alert": {}, **other})
+
+
+def flow_feed(feed, folder, **options):
+    lines = stream_lines(feed.spark, str(folder), max_files_per_trigger=1, ordered=True)
+    ingest.start_flow_ingest(lines, feed.tables, available_now=True, **options).awaitTermination()
+
+
+def land_flows(folder, n, lines):
+    folder.mkdir(exist_ok=True)
+    file = folder / f"{9 - n}.json"  # names fall as times rise
+    file.write_text("".join(f"{x}\n" for x in lines))
+    os.utime(file, (1_700_000_000 + n,) * 2)
+
+
+@pytest.mark.parametrize("merge_every", [None, 2])
+def test_ttl_of_a_flow_stream_is_the_last_one_landed(feed, spark, merge_every):
+    folder = feed.folder.parent / "flows"
+    land_flows(folder, 1, [flow("10.0.0.1", n) for n in range(1000)] + ["junk", "", flow("10.0.0.2", 5)])
+    land_flows(folder, 2, [flow("10.0.0.1", 9), flow("10.0.0.3", None), flow("10.0.0.1", 8)])
+    flow_feed(feed, folder, merge_every=merge_every)
+    land_flows(folder, 3, ["{}"])
+    land_flows(folder, 4, [flow("10.0.0.2", 6), flow("", 1), flow("10.0.0.2", 7)])
+    land_flows(folder, 5, [flow("10.0.0.4", 1)])
+    flow_feed(feed, folder, merge_every=merge_every)
+    expected = {"10.0.0.1": 8, "10.0.0.2": 7, "10.0.0.3": None, "10.0.0.4": 1}
+    assert dict(ingest.known_ttl(spark, feed.tables).collect()) == expected
+    two = spark.createDataFrame([("10.0.0.2",), ("10.0.0.2",), ("10.9.9.9",)], "src_ip string")
+    assert dict(ingest.known_ttl(spark, feed.tables, two).collect()) == {"10.0.0.2": 7}
+    feed.land(line(1), line(2, ip="10.0.0.2"), line(3, ip="10.9.9.9"))
+    feed.run()
+    got = {r["src_ip"]: r["ttl"] for r in feed.alerts().collect()}
+    assert got == {"10.0.0.1": 8, "10.0.0.2": 7, "10.9.9.9": 0}
+
+
+def test_flow_lines_are_parsed_once(feed, spark):
+    """A later batch leaves earlier rows alone, and a batch run again replaces its own."""
+    folder = feed.folder.parent / "flows"
+    for n in range(1, 5):
+        land_flows(folder, n, [flow(f"10.0.0.{n}", n)] * 50 + [flow("10.0.0.9", n)])
+    flow_feed(feed, folder, merge_every=None)
+    table = feed.tables.ttl_table(spark)
+    _, parts = table.manifest()
+    assert [p.rows for p in parts] == [2] * 4
+    table.write(table.read().filter("batch_id = 3").drop("batch_id"), 3)
+    assert [p.rows for p in table.manifest()[1]] == [2] * 4
+    table.merge(newest_ttl, fanout=3)
+    assert sorted(p.rows for p in table.manifest()[1]) == [2, 4]
+    assert dict(ingest.known_ttl(spark, feed.tables).collect()) == {
+        **{f"10.0.0.{n}": n for n in range(1, 5)}, "10.0.0.9": 4}
+
+
+def test_no_flow_lines_no_ttl(feed, spark):
+    assert ingest.known_ttl(spark, feed.tables).collect() == []
+    feed.land(line(1))
+    feed.run()
+    assert [r["ttl"] for r in feed.alerts().collect()] == [0]

@@ -418,6 +418,7 @@ ORACLE_SQL: dict[str, str] = {
         "parsed", "summary",
     ),
     "ttl_latest": _with("SELECT * FROM ttls", "ttls"),
+    "stream_ttl": _with("SELECT * FROM ttls", "ttls"),
     "ttl_latest_of_tail": _with(
         """
         SELECT src_ip, max_by(ttl, source_rank * 1000000000000 + line) AS ttl

@@ -644,16 +644,21 @@ def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Tables:
     where = ingest.Tables.below(fresh_path(spark, "ingest"))
-
-    def ttl() -> DataFrame:
-        return enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
-
+    flows = binding.flow_lines(binding.events_stream(spark, sf_dir))
+    ingest.start_flow_ingest(flows, where, available_now=True).awaitTermination()
     ingest.start_ingest(
-        _line_stream(spark, sf_dir), where, ttl=ttl, available_now=True
+        _line_stream(spark, sf_dir), where, available_now=True
     ).awaitTermination()
     return where
 
 
+def _flows_in_batches(events: DataFrame, where: ingest.Tables) -> None:
+    """The flow lines of ``events`` batch by batch, merged on the way."""
+    ingest.start_flow_ingest(
+        binding.flow_lines(events), where, merge_every=2, available_now=True
+    ).awaitTermination()
+
+
 @query
 def stream_dedup(spark, sf_dir):
     path = fresh_path(spark, "distinct-lines")
@@ -676,12 +681,9 @@ def stream_ingest_batches(spark, sf_dir):
     """The events as several files, one file per micro-batch."""
     where = ingest.Tables.below(fresh_path(spark, "ingest"))
     events = binding.events_stream_of_files(spark, sf_dir, fresh_path(spark, "landing"), files=4)
-
-    def ttl() -> DataFrame:
-        return enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
-
+    _flows_in_batches(events, where)
     ingest.start_ingest(
-        binding.alert_lines(events).select("value"), where, ttl=ttl, available_now=True
+        binding.alert_lines(events).select("value"), where, available_now=True
     ).awaitTermination()
     return ingest.stored_alerts(spark, where).drop("id", "created_at")
 
@@ -691,16 +693,22 @@ def stream_ingest_merged(spark, sf_dir):
     """As several batches, the tables' parts being merged on the way."""
     where = ingest.Tables.below(fresh_path(spark, "ingest"))
     events = binding.events_stream_of_files(spark, sf_dir, fresh_path(spark, "landing"), files=5)
-
-    def ttl() -> DataFrame:
-        return enrich.latest_ttl(parse_ttl_lines(_flow_lines(spark, sf_dir)))
-
+    _flows_in_batches(events, where)
     ingest.start_ingest(
-        binding.alert_lines(events).select("value"), where, ttl=ttl, available_now=True, merge_every=2,
+        binding.alert_lines(events).select("value"), where, available_now=True, merge_every=2,
     ).awaitTermination()
     return ingest.stored_alerts(spark, where).drop("id", "created_at")
 
 
+@query
+def stream_ttl(spark, sf_dir):
+    """The TTL per source kept up by a stream of flow lines, in five batches."""
+    where = ingest.Tables.below(fresh_path(spark, "ingest"))
+    events = binding.events_stream_of_files(spark, sf_dir, fresh_path(spark, "landing"), files=5)
+    _flows_in_batches(events, where)
+    return ingest.known_ttl(spark, where)
+
+
 @query
 def stream_profile_sequence(spark, sf_dir):
     """Profiles whose assessor repeats the attack sequence it was given."""
