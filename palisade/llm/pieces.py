@@ -178,7 +178,9 @@ class PieceCodec:
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; a byte that is no part of a character gives U+FFFD."""
-        ids = np.frombuffer(packed, "<u4").tolist()
+        return self.text_of(_unpacked(packed))
+
+    def text_of(self, ids: list[int]) -> str:
         surface = self._surface
         data = b"".join(map(surface.__getitem__, ids))
         first = next((i for i in ids if surface[i]), None)
@@ -186,13 +188,13 @@ class PieceCodec:
             data = data[1:]  # the space put before the text
         return data.decode("utf-8", "palisade.every_byte")
 
-    def agrees(self, texts: list[str], packed: list[bytes], decoded: list[str]) -> list[bool]:
+    def agrees(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
         """Whether the library gives the same ids and the same text back."""
-        ids = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-        back = self.library.decode(ids, num_threads=1)
+        given = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+        back = self.library.decode(given, num_threads=1)
         return [
-            _packed(theirs) == ours and text == own
-            for theirs, ours, text, own in zip(ids, packed, back, decoded)
+            theirs == ours and text == own
+            for theirs, ours, text, own in zip(given, ids, back, decoded)
         ]
 
 
@@ -200,6 +202,10 @@ def _packed(ids: Iterable[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _unpacked(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<u4").tolist()
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
     """One per worker process, so that later tasks find its units."""
@@ -228,10 +234,11 @@ def encode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             texts = batch.column(1).to_pylist()
             packed = [own.encode(text) for text in texts]
-            decoded = [own.decode(ids) for ids in packed]
-            same = own.agrees(texts, packed, decoded) if check else [None] * len(texts)
+            ids = [_unpacked(each) for each in packed]
+            decoded = [own.text_of(each) for each in ids]
+            same = own.agrees(texts, ids, decoded) if check else [None] * len(texts)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(ids) // 4 for ids in packed], pa.int64()),
+                batch.column(0), pa.array([len(each) for each in ids], pa.int64()),
                 pa.array(packed, pa.binary()), pa.array(decoded, pa.string()),
                 pa.array(same, pa.bool_()),
             ], ["doc_id", "n_tokens", "ids", "decoded", "agrees"])

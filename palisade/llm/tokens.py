@@ -61,7 +61,7 @@ class TokenCounter:
         self._first: dict[str, int] = {"": 0}  # tokens of a unit that begins a text
 
     def _learn(self, known: dict[str, int], missing: list[str], before: str) -> None:
-        for batch in _by_size(missing, BATCH_BYTES):
+        for batch in _by_size(missing, BATCH_BYTES, _n_bytes):
             encoded = self._tokenizer.encode_batch_fast(
                 [before + unit for unit in batch], add_special_tokens=False
             )
@@ -77,7 +77,7 @@ class TokenCounter:
         for group in _by_size(
             [(i, j, piece) for i, text in enumerate(texts)
              for j, piece in enumerate(pieces(text))],
-            BATCH_BYTES, lambda item: len(item[2]),
+            BATCH_BYTES, lambda item: _n_bytes(item[2]),
         ):
             cut = [(i, j == 0, units(piece)) for i, j, piece in group]
             # only the first piece of a text has no space before its first unit
@@ -99,7 +99,11 @@ def _counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def _by_size(items: list, limit: int, size=len) -> Iterator[list]:
+def _n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+def _by_size(items: list, limit: int, size) -> Iterator[list]:
     batch, total = [], 0
     for item in items:
         if batch and total + size(item) > limit:
@@ -127,10 +131,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
         for texts in batches:
             given = texts.fillna("").tolist()
             counts: list[int] = []
-            for group in _by_size(given, BATCH_BYTES):
+            for group in _by_size(given, BATCH_BYTES, _n_bytes):
                 counts += counter.count(group)
             yield pd.DataFrame({
-                "n_bytes": [len(text.encode()) for text in given], "n_tokens": counts,
+                "n_bytes": [_n_bytes(text) for text in given], "n_tokens": counts,
             })
 
     return docs.select("doc_id", lengths("text").alias("_n")).select(

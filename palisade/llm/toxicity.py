@@ -63,7 +63,8 @@ def held_out(doc_id: Column) -> Column:
 def _training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """``text``, ``toxic`` of at most ``limit`` labelled rows that are not held out.
 
-    A document with several labels is toxic if one says so.
+    A document with several labels is toxic if one says so; of several rows
+    with one id, the text of least hash is used.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     per_doc = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
@@ -72,8 +73,12 @@ def _training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     picked = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     chosen = picked.withColumnRenamed("doc_id", "_llm_doc")
     # at most ``limit`` rows of two numbers
-    return docs.select("doc_id", "text").join(
+    found = docs.select("doc_id", "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("_llm_doc")
+    )
+    return found.groupBy("_llm_doc").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"),
+        F.max("toxic").alias("toxic"),
     ).select("text", "toxic")
 
 

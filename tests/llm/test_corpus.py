@@ -1,5 +1,6 @@
 """Operators that compare documents with one another."""
 
+import zlib
 import hashlib
 from collections import Counter
 
@@ -352,3 +353,13 @@ def test_toxic_words_are_learnt_and_held_out_rows_are_not(spark):
     none = toxicity.toxicity(frame, marks.limit(0)).filter("score > 0.01")
     assert none.count() == 0
     assert toxicity.toxicity(frame.limit(0), marks).collect() == []
+
+
+def test_training_rows_are_bounded_whatever_the_ids(spark):
+    frame = spark.createDataFrame(
+        [(i % 10, f"text {i}") for i in range(500)] + [(3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic long")
+    free = toxicity._training_rows(frame, labels, 20)
+    assert free.count() == len({i for i in range(10) if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert sorted(free.collect(), key=str) == sorted(
+        toxicity._training_rows(frame.repartition(7), labels, 20).collect(), key=str)
