@@ -132,11 +132,14 @@ def _features(span: str, left: str, right: str) -> tuple[int, ...]:
     digits = _digits(span)
     groups = re.findall(r"[0-9]+", span)
     octets = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    begins = not left or not (left.isalnum() or left in "._%+-@")
+    ends = "." if right == "." else not right or not (right.isalnum() or right in "-_@")
     between = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", span))))
     named = (
         "bias", f"shape {shape}", f"sized {sized}", f"digits {_bucket(len(digits))}",
         f"groups {len(groups)}", f"at {span.count('@') + len(_WRITTEN_AT.findall(span))}",
-        f"dots {span.count('.')}", f"between {between}", f"mail {bool(_MAIL.fullmatch(span))}",
+        f"dots {span.count('.')}", f"between {between}",
+        f"mail {bool(_MAIL.fullmatch(span))} {begins} {ends}",
         f"ends {_kind(span[0])}{_kind(span[-1])}", f"left {_kind(left)}", f"right {_kind(right)}",
         f"octets {octets}", f"luhn {12 <= len(digits) <= 19 and luhn(digits)}",
         f"spaces {min(3, len(re.findall(r'\s', span)))}",
