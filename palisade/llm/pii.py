@@ -135,9 +135,12 @@ def _features(span: str, left: str, right: str) -> tuple[int, ...]:
     begins = not left or not (left.isalnum() or left in "._%+-@")
     ends = "." if right == "." else not right or not (right.isalnum() or right in "-_@")
     between = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", span))))
+    signs = span.count("@") + len(_WRITTEN_AT.findall(span))
+    # how many digits an address holds says nothing
+    count, parts = (f"@{signs}",) * 2 if signs else (_bucket(len(digits)), len(groups))
     named = (
-        "bias", f"shape {shape}", f"sized {sized}", f"digits {_bucket(len(digits))}",
-        f"groups {len(groups)}", f"at {span.count('@') + len(_WRITTEN_AT.findall(span))}",
+        "bias", f"shape {shape}", f"sized {sized}", f"digits {count}",
+        f"groups {parts}", f"at {signs}",
         f"dots {span.count('.')}", f"between {between}",
         f"mail {bool(_MAIL.fullmatch(span))} {begins} {ends}",
         f"ends {_kind(span[0])}{_kind(span[-1])}", f"left {_kind(left)}", f"right {_kind(right)}",
