@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -11,7 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.rows import by_bytes
@@ -29,13 +31,21 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MAX_TOKENS = 14  # of an entity
 MAX_CHARS = 80  # of an entity
 FEATURE_BITS = 12
-TRAIN_REGIONS = 400  # regions the model is fitted on, those of least hash
+TRAIN_REGIONS = 400  # regions the model is fitted on, those of least hash: an eighth of each kind
+REGION_CHARS = 4 * MAX_CHARS  # longer regions are cut for training
 EPOCHS = 8
 RATE = 0.3
 _MOVED = 4_000_000
 
 Span = tuple[int, int, str]
 
+_NO_DIGITS = re.compile(r"[^0-9]+")
+_GROUP = re.compile(r"[0-9]+")
+_DIGIT = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[A-Za-z]+")
+_SIGNS = re.compile(r"[^A-Za-z0-9]")
+_BLANK = re.compile(r"\s")
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -46,7 +56,7 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return _NO_DIGITS.sub("", text)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -81,16 +91,20 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidate regions and segments ------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]+")
+_AT = r"(?<=[(\[])(?i:at)(?=[)\]])"
+_TRIGGER = re.compile(rf"[0-9@]+|{_AT}")
+_TRIGGERS = re.compile(rf"[0-9@]|{_AT}")
+_WRITTEN_AT = re.compile(_AT)
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[](?i:at)[)\]]) ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
 
 def regions(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Ranges outside ``taken`` in which an entity could lie.
 
-    Every entity holds a digit or an at sign and is at most ``MAX_CHARS``
-    long, so the text further away from these cannot matter; ranges that
-    touch are one.
+    Every entity holds a digit, an at sign or "at" in brackets and is at most
+    ``MAX_CHARS`` long, so the text further away from these cannot matter;
+    ranges that touch are one.
     """
     out: list[tuple[int, int]] = []
     walls = [(0, 0), *[(a, b) for a, b, _ in taken], (len(text), len(text))]
@@ -120,23 +134,31 @@ def _bucket(value: int) -> int:
 @lru_cache(maxsize=100_000)
 def _features(span: str, left: str, right: str) -> tuple[int, ...]:
     """Hashed features of a whole candidate and the characters beside it."""
-    shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", span))
-    sized = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", span))
-    digits = _digits(span)
-    groups = re.findall(r"[0-9]+", span)
+    worded = _LETTERS.sub("a", span)
+    shape, sized = _GROUP.sub("9", worded), _DIGIT.sub("9", worded)
+    groups = _GROUP.findall(span)
+    digits = "".join(groups)
     octets = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    begins = not left or not (left.isalnum() or left in "._%+-@")
+    ends = "." if right == "." else not right or not (right.isalnum() or right in "-_@")
+    between = "".join(sorted(set(_SIGNS.findall(span))))
+    signs = span.count("@") + len(_WRITTEN_AT.findall(span))
+    # how many digits an address holds says nothing
+    count, parts = (f"@{signs}",) * 2 if signs else (_bucket(len(digits)), len(groups))
     named = (
-        "bias", f"shape {shape}", f"sized {sized}", f"digits {_bucket(len(digits))}",
-        f"groups {len(groups)}", f"at {span.count('@')}", f"dots {span.count('.')}",
+        "bias", f"shape {shape}", f"sized {sized}", f"digits {count}",
+        f"groups {parts}", f"at {signs}",
+        f"dots {span.count('.')}", f"between {between}",
+        f"mail {bool(_MAIL.fullmatch(span))} {begins} {ends}",
         f"ends {_kind(span[0])}{_kind(span[-1])}", f"left {_kind(left)}", f"right {_kind(right)}",
         f"octets {octets}", f"luhn {12 <= len(digits) <= 19 and luhn(digits)}",
-        f"spaces {min(3, len(re.findall(r'\s', span)))}",
-        f"letters {_bucket(sum(c.isalpha() for c in span))}",
+        f"spaces {min(3, len(_BLANK.findall(span)))}",
+        f"letters {_bucket(sum(map(str.isalpha, span)))}",
     )
     return tuple(zlib.crc32(n.encode()) >> (32 - FEATURE_BITS) for n in named)
 
 
-N_FEATURES = 14
+N_FEATURES = 16
 
 
 def _kind(c: str) -> str:
@@ -161,8 +183,9 @@ class Segments:
 def segments(text: str, low: int, high: int) -> Segments:
     tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
     starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
-    trigger = [bool(_TRIGGER.search(text, a, b)) for a, b in tokens]
-    seen = np.concatenate(([0], np.cumsum(trigger))) if tokens else np.zeros(1, int)
+    at = np.array([m.start() for m in _TRIGGERS.finditer(text, low, high)], np.int64)
+    trigger = np.searchsorted(at, ends) > np.searchsorted(at, starts)
+    seen = np.concatenate(([0], np.cumsum(trigger)))
     first, last, found = [], [], []
     for i, a in enumerate(starts):
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
@@ -213,103 +236,263 @@ def decode(weights: np.ndarray, seg: Segments) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
-def _gradient(weights: np.ndarray, seg: Segments, gold: list[tuple[int, int]]) -> np.ndarray:
+@dataclass
+class Example:
+    """A text prepared for the fit.
+
+    Its features are numbered anew (``known`` holds their numbers in the model),
+    and its candidates stand in a band: row is the first token, column the
+    length less one.
+    """
+
+    known: np.ndarray
+    features: np.ndarray
+    tokens: int
+    first: np.ndarray
+    last: np.ndarray
+    gold: list[tuple[int, int]]
+
+
+def _prepared(text: str, spans: list[Span]) -> Example | None:
+    seg = segments(text, 0, len(text))
+    if not len(seg.first):
+        return None
+    where = {(seg.starts[i], seg.ends[j - 1]): s
+             for s, (i, j) in enumerate(zip(seg.first.tolist(), seg.last.tolist()))}
+    gold = [(where[a, b], KINDS.index(k)) for a, b, k in spans if (a, b) in where]
+    known, features = np.unique(seg.features, return_inverse=True)
+    return Example(known, features.reshape(seg.features.shape), len(seg.starts),
+                   seg.first, seg.last, gold)
+
+
+def _totals(weight: np.ndarray) -> np.ndarray:
+    """Logarithms of the summed weights of all segmentations that end at each token.
+
+    ``weight[j, w]`` is that of the candidates of w + 1 tokens ending at j + 1.
+    The sums only grow, so the last few are kept relative to the latest one.
+    """
+    out = np.zeros(len(weight) + 1)
+    recent = np.zeros(weight.shape[1])
+    recent[0] = 1
+    for j, row in enumerate(weight):
+        grown = 1 + recent @ row
+        out[j + 1] = out[j] + np.log(grown)
+        recent[1:] = recent[:-1] / grown
+        recent[0] = 1
+    return out
+
+
+def _gradient(scores: np.ndarray, example: Example) -> np.ndarray:
     """Expected minus true candidates of each kind; forward-backward over segments."""
-    n = len(seg.starts)
-    scores = weights[seg.features].sum(axis=1)
-    ends = _by_last(seg)
-    forward, backward = np.zeros(n + 1), np.zeros(n + 1)
-    for i in range(1, n + 1):
-        terms = (forward[seg.first[ends[i]]][:, None] + scores[ends[i]]).ravel()
-        forward[i] = np.logaddexp.reduce(np.append(terms, forward[i - 1]))
-    starts = [np.flatnonzero(seg.first == i) for i in range(n)]
-    for i in range(n - 1, -1, -1):
-        terms = (backward[seg.last[starts[i]]][:, None] + scores[starts[i]]).ravel()
-        backward[i] = np.logaddexp.reduce(np.append(terms, backward[i + 1]))
-    chance = np.exp(
-        forward[seg.first][:, None] + scores + backward[seg.last][:, None] - forward[n]
-    )
-    for s, kind in gold:
+    n, first, last = example.tokens, example.first, example.last
+    length = last - first - 1
+    weight = np.exp(scores)
+    total = weight.sum(axis=1)
+    band = np.zeros((n, MAX_TOKENS))
+    band[last - 1, length] = total
+    forward = _totals(band)
+    band[:] = 0
+    band[n - 1 - first, length] = total  # the same, read from the end
+    backward = _totals(band)[::-1]
+    chance = weight * np.exp(forward[first] + backward[last] - forward[n])[:, None]
+    for s, kind in example.gold:
         chance[s, kind] -= 1
     return chance
 
 
 def train(examples: list[tuple[str, list[Span]]]) -> np.ndarray:
     """Weights (feature, kind) from texts with their entities; adaptive gradient steps."""
-    prepared = []
-    for text, spans in examples:
-        seg = segments(text, 0, len(text))
-        where = {(seg.starts[i], seg.ends[j - 1]): s
-                 for s, (i, j) in enumerate(zip(seg.first.tolist(), seg.last.tolist()))}
-        gold = [(where[a, b], KINDS.index(k)) for a, b, k in spans if (a, b) in where]
-        if len(seg.first):
-            prepared.append((seg, gold))
+    prepared = [e for e in (_prepared(text, spans) for text, spans in examples) if e is not None]
     weights = np.zeros((1 << FEATURE_BITS, len(KINDS)))
     size = np.full_like(weights, 1e-6)
     for _ in range(EPOCHS):
-        for seg, gold in prepared:
-            chance = _gradient(weights, seg, gold)
-            slope = np.zeros_like(weights)
-            np.add.at(slope, seg.features, chance[:, None, :])
-            size += slope**2
-            weights -= RATE * slope / np.sqrt(size)
+        for example in prepared:
+            held = weights[example.known]
+            chance = _gradient(held[example.features].sum(axis=1), example)
+            spread = np.repeat(chance, example.features.shape[1], axis=0)
+            slope = np.stack([
+                np.bincount(example.features.ravel(), spread[:, k], len(held))
+                for k in range(len(KINDS))
+            ], axis=1)
+            size[example.known] += slope**2
+            weights[example.known] = held - RATE * slope / np.sqrt(size[example.known])
     return weights
 
 
+def _forms(span: str, kind: str) -> list[str]:
+    """Other ways to write an entity, which the fixed patterns miss."""
+    digits = _digits(span)
+    if kind == "email":
+        return [span.replace("@", at) for at in (" @ ", "(at)", " [at] ")]
+    if kind == "ip":
+        return [span.replace(".", dot) for dot in (" . ", "[.]")]
+    if kind == "card":
+        groups = re.findall(r"[0-9]{1,4}", digits)
+        return [".".join(groups), "  ".join(groups)]
+    area, first, last = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [f"{area}-{first}-{last}", f"{area} {first} {last}", f"({area}) {first}-{last}",
+            re.sub(r"^\+[0-9]+[\x20-]?", "", span)]
+
+
+def _likenesses(span: str, kind: str) -> list[str]:
+    """Texts that look like an entity of this kind and are none."""
+    digits = _digits(span)
+    if kind == "email":
+        return [span.split("@")[0] + " @ home", "(at) " + span.split("@")[0]]
+    if kind == "ip":
+        parts = span.split(".")
+        return [".".join([*parts[:3], "999"]), "v" + ".".join(parts[:3])]
+    if kind == "card":
+        account = " ".join(re.findall(r"[0-9]{1,4}", (digits * 2)[:18]))
+        return [f"DE{digits[:2]} {account}", span[:-1] + str((int(span[-1]) + 1) % 10)]
+    return [f"20{digits[:2]}-0{digits[2]}-1{digits[3]}", f"{digits[:3]}-{digits[3:6]}"]
+
+
+_REACH = MAX_CHARS // 2  # characters of an example's text kept on each side of an altered entity
+
+
+def _near(text: str, spans: list[Span], span: Span) -> tuple[str, list[Span], Span]:
+    """An entity with whole words and whole entities around it."""
+    low, high = max(0, span[0] - _REACH), min(len(text), span[1] + _REACH)
+    while 0 < low < span[0] and not text[low - 1].isspace():
+        low += 1
+    while span[1] < high < len(text) and not text[high].isspace():
+        high -= 1
+    for a, b, _ in spans:
+        if a < low < b:
+            low = b
+        if a < high < b:
+            high = a
+    inside = [(a - low, b - low, k) for a, b, k in spans if low <= a and b <= high]
+    return text[low:high], inside, (span[0] - low, span[1] - low, span[2])
+
+
+_SURROUNDINGS = (("", ""), ("see ", ", thanks"), ("(", ")"), ("it is ", "."), ("to: ", " now"), ("the ", "; "))
+
+
+def _replaced(
+    text: str, spans: list[Span], span: Span, changed: str, entity: bool
+) -> tuple[str, list[Span]]:
+    """The example with ``changed`` in place of one entity."""
+    start, end, kind = span
+    moved = len(changed) - (end - start)
+    others = [(a + moved, b + moved, k) if a >= end else (a, b, k)
+              for a, b, k in spans if (a, b, k) != span]
+    own = [(start, start + len(changed), kind)] if entity else []
+    return text[:start] + changed + text[end:], sorted(others + own)
+
+
 def variants(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
-    """The example and, for each entity, a form that the fixed patterns miss."""
-    out = [(text, spans)]
-    for start, end, kind in spans:
-        span = text[start:end]
-        changed = {
-            "email": span.replace("@", " @ "), "ip": span.replace(".", " . "),
-            "card": ".".join(re.findall(r"[0-9]{1,4}", _digits(span))),
-            "phone": re.sub(r"^\+[0-9]+[\x20-]?", "", span),
-        }[kind]
-        moved = len(changed) - len(span)
-        others = [(a + moved, b + moved, k) if a >= end else (a, b, k)
-                  for a, b, k in spans if (a, b, k) != (start, end, kind)]
-        out.append((
-            text[:start] + changed + text[end:],
-            sorted([*others, (start, start + len(changed), kind)]),
-        ))
+    """The example and, for each entity, another form and a mere likeness, in place and elsewhere.
+
+    Which of them is taken goes by the text and the entity's number, so that
+    many examples hold all of them.
+    """
+    out, turn = [(text, spans)], zlib.crc32(text.encode())
+    for i, span in enumerate(spans, turn):
+        written = text[span[0]:span[1]]
+        forms, others = _forms(written, span[2]), _likenesses(written, span[2])
+        near = _near(text, spans, span)
+        out.append(_replaced(*near, forms[i % len(forms)], True))
+        out.append(_replaced(*near, others[i % len(others)], False))
+        # the same in other surroundings
+        before, after = _SURROUNDINGS[(i + turn) % len(_SURROUNDINGS)]
+        form, other = forms[i % len(forms)], others[i % len(others)]
+        begin = len(before)
+        out.append((before + form + after, [(begin, begin + len(form), span[2])]))
+        out.append((before + other + after, []))
     return out
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every region, base entities included, with what the base patterns say."""
-    for batch in by_bytes(batches, "text", _MOVED):
-        texts, labels = [], []
-        for text in batch.column(0).to_pylist():
-            spans = base_spans(text or "")
-            for a, b in regions(text or "", []):
-                if b - a <= 4 * MAX_CHARS:
-                    inside = [(s - a, e - a, k) for s, e, k in spans if a <= s and e <= b]
-                    texts.append(text[a:b])
-                    labels.append(";".join(f"{s}:{e}:{k}" for s, e, k in inside))
+def _apart(spans: list[Span]) -> list[Span]:
+    """Spans that do not overlap: the longest, then what lies beside them."""
+    kept: list[Span] = []
+    for span in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+        if all(span[1] <= a or b <= span[0] for a, b, _ in kept):
+            kept.append(span)
+    return sorted(kept)
+
+
+def labelled_regions(text: str, limit: int = REGION_CHARS) -> Iterator[tuple[str, list[Span]]]:
+    """Every region, base entities included, with what the base patterns say.
+
+    Regions over ``limit`` characters are cut in front of a word or entity.
+    What a chain of overlapping matches fills beyond that is left out: it is
+    longer than an entity may be.
+    """
+    spans = base_spans(text)
+    blocks: list[list[int]] = []  # overlapping spans taken together
+    for a, b, _ in spans:
+        if blocks and a < blocks[-1][1]:
+            blocks[-1][1] = max(b, blocks[-1][1])
+        else:
+            blocks.append([a, b])
+    starts, firsts = [a for a, _ in blocks], [a for a, _, _ in spans]
+    for low, high in regions(text, []):
+        while low < high:
+            end = high
+            if high - low > limit:
+                end = low + limit
+                end = max(text.rfind(" ", low + 1, end) + 1, 0) or end
+                i = bisect_right(starts, end) - 1
+                if i >= 0 and blocks[i][0] < end < blocks[i][1]:
+                    end = blocks[i][0] if blocks[i][0] > low else min(blocks[i][1], high)
+            if end - low <= limit:
+                inside = spans[bisect_right(firsts, low - 1):bisect_right(firsts, end)]
+                yield text[low:end], _apart([
+                    (a - low, b - low, k) for a, b, k in inside if b <= end
+                ])
+            low = end
+
+
+def _least(limits: dict[str, int]):
+    """Per task: of each kind, and of regions without any (""), those of least hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, dict[tuple[int, str], str]] = {kind: {} for kind in limits}
+        for batch in by_bytes(batches, "text", _MOVED):
+            for text in batch.column(0).to_pylist():
+                for region, spans in labelled_regions(text or ""):
+                    key = (xxhash.xxh64_intdigest(region.encode()) >> 1, region)
+                    label = ";".join(f"{a}:{b}:{k}" for a, b, k in spans)
+                    for kind in {k for _, _, k in spans} or {""}:
+                        found = least[kind]
+                        found[key] = label
+                        if len(found) >= 8 * limits[kind] + 8:
+                            least[kind] = dict(sorted(found.items())[:limits[kind]])
+        rows = [(kind, key[0], key[1], label) for kind, found in least.items()
+                for key, label in sorted(found.items())[:limits[kind]]]
+        columns = list(zip(*rows)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()), pa.array(labels, pa.string())], ["region", "label"]
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()))],
+            ["kind", "place", "region", "label"],
         )
 
+    return run
+
 
 def fit(docs: DataFrame, limit: int = TRAIN_REGIONS) -> np.ndarray:
-    """Fit on at most ``limit`` regions of the texts, half of them with entities.
+    """Fit on at most ``limit`` regions of the texts: an eighth for each kind, half without any.
 
-    The base patterns give the labels, and altered forms teach the whole-span
-    features what else such data look like.
+    One pass over the texts, of which each task hands on its regions of least
+    hash. The base patterns give the labels; altered forms and mere likenesses
+    teach the whole-span features what else such data look like.
     """
-    found = docs.select("text").mapInArrow(_examples, "region string, label string").distinct()
-    taken = []
-    for with_entity in (True, False):
-        part = found.filter((F.length("label") > 0) == F.lit(with_entity))
-        taken += part.orderBy(F.xxhash64("region"), "region").limit(limit // 2).collect()
+    limits = {**{kind: max(1, limit // 8) for kind in KINDS}, "": max(1, limit // 2)}
+    found = docs.select("text").mapInArrow(
+        _least(limits), "kind string, place bigint, region string, label string"
+    )
+    rank = F.dense_rank().over(Window.partitionBy("kind").orderBy("place", "region"))
+    allowed = F.when(F.col("kind") == "", limits[""]).otherwise(limits[KINDS[0]])
+    taken = (
+        found.withColumn("_rank", rank)
+        .filter((F.col("_rank") <= limits[""]) & (F.col("_rank") <= allowed))
+        .groupBy("place", "region").agg(F.min("label").alias("label")).collect()
+    )
     examples = []
-    for region, label in taken:
+    for _, region, label in sorted(taken):
         spans = [(int(a), int(b), k) for a, b, k in
                  (part.split(":") for part in label.split(";") if part)]
-        alone = [s for s in spans
-                 if not any(s is not o and s[0] < o[1] and o[0] < s[1] for o in spans)]
-        examples += variants(region, alone)
+        examples += variants(region, spans)
     return train(examples)
 
 
