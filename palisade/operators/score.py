@@ -32,6 +32,7 @@ class ScorerUnavailable(Exception):
 
 
 BatchFunction = Callable[[pd.DataFrame], "pd.DataFrame | Iterable[Mapping[str, Any]]"]
+PartsAssessor = Callable[[str, Iterator[str]], Mapping[str, Any]]
 
 
 def _apply_batches(
@@ -205,6 +206,50 @@ def assess_profiles(
 _FAILED = "\u0000failed"
 
 
+def assess_sequences(parts: DataFrame, assessor: PartsAssessor) -> DataFrame:
+    """``src_ip`` and its assessment, from attack sequences too long for one row.
+
+    ``parts`` is what :func:`~palisade.operators.profile.sequence_text` gives.
+    The assessor gets a source and an iterator over the texts of its parts, in
+    order; only the batch at hand is in memory, however long the sequence.
+    Keys it leaves out, and sources it fails on, get the same as in
+    :func:`assess_profiles`.
+    """
+    unknown = {name: "unknown" for name in ASSESSMENT.fieldNames()[:-1]}
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (source,) = key
+
+        def texts() -> Iterator[str]:
+            expected = 0
+            for batch in batches:
+                for part, text in zip(batch["part"], batch["attack_sequence"]):
+                    if part != expected:
+                        raise AssertionError(f"part {part} of {source} came for {expected}")
+                    expected += 1
+                    yield text
+
+        rest = texts()
+        defaults = {**unknown, "recommended_response": f"Block {source}"}
+        try:
+            answer = {**defaults, **assessor(source, rest)}
+        except AssertionError:
+            raise
+        except Exception:
+            answer = defaults
+        for _ in rest:  # what the assessor did not want to see
+            pass
+        yield pd.DataFrame([{
+            "src_ip": source,
+            **{k: None if answer[k] is None else str(answer[k]) for k in defaults},
+        }])
+
+    schema = T.StructType([parts.schema["src_ip"], *ASSESSMENT.fields])
+    # grouping finds its rows placed and sorted already, so that order stays
+    placed = parts.select("src_ip", "part", "attack_sequence").repartition("src_ip")
+    return placed.sortWithinPartitions("src_ip", "part").groupBy("src_ip").applyInPandas(run, schema)
+
+
 # --- assessments shown with an attacker ------------------------------------------
 
 _CARD_KEYS = [

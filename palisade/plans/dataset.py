@@ -67,7 +67,8 @@ def run(
 ) -> DataFrame:
     """Build the dataset, store it, and return the stored table."""
     built = build_dataset(
-        read_alert_logs(spark, alert_sources), read_flow_logs(spark, flow_paths)
+        read_alert_logs(spark, alert_sources), read_flow_logs(spark, flow_paths),
+        ordered=False,  # the stored table has an order of its own
     )
     write_dataset(built, table_path)
     stored = spark.read.parquet(table_path).select(*built.columns)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.fixed_values import (
     ALERT_TIMESTAMP_FORMAT,
@@ -12,7 +16,7 @@ from palisade.fixed_values import (
     LIVE_LINE_GROUPS,
     LIVE_LINE_PATTERN,
 )
-from palisade.sources.lines import keep_wanted
+from palisade.sources.lines import keep_wanted, mark_wanted
 
 _SEPARATOR = "\u0001"
 _NUMBERS = {"priority", "src_port", "dst_port"}
@@ -56,38 +60,104 @@ def parse_alert_lines(
     :func:`count_lines`). ``grammar`` is ``"archive"`` (found anywhere in the
     line, yields the rule id) or ``"live"`` (from the start of the line).
     """
-    _, groups, _ = _GRAMMARS[grammar]
-    matched = keep_wanted(
-        lines,
-        _captures(F.col("value"), grammar),
-        lambda captured: F.size(captured) == len(groups),
-        "captured",
-    )
+    matched = keep_wanted(lines, *_captured(grammar))
+    carried = [c for c in lines.columns if c != "value"]
+    return matched.select(*_alert_columns(grammar, interface), *carried)
+
+
+def _captured(grammar: str) -> tuple:
+    """What :func:`keep_wanted` and :func:`mark_wanted` need to add ``captured``."""
+    size = len(_GRAMMARS[grammar][1])
+    return _captures(F.col("value"), grammar), lambda found: F.size(found) == size, "captured"
+
+
+def _alert_columns(grammar: str, interface: str | None) -> list[Column]:
     columns = []
-    for position, name in enumerate(groups):
+    for position, name in enumerate(_GRAMMARS[grammar][1]):
         text = F.col("captured")[position]
         columns.append((text.try_cast("bigint") if name in _NUMBERS else text).alias(name))
     if interface is not None:
         columns.append(F.lit(interface).alias("interface"))
+    return columns
+
+
+@dataclass(frozen=True)
+class ParsedLines:
+    """What one scan of a log left: stored alerts, stored rejects, and counts."""
+
+    alerts: DataFrame
+    rejected: DataFrame
+    lines: int
+    parsed: int
+
+    @property
+    def rejects(self) -> int:
+        return self.lines - self.parsed
+
+
+def store_alert_lines(
+    lines: DataFrame, path: str, *, grammar: str = "archive", interface: str | None = None
+) -> ParsedLines:
+    """Parse ``lines`` once and replace ``path`` with both the alerts and the rejected lines.
+
+    ``alerts`` is what :func:`parse_alert_lines` gives, ``rejected`` what
+    :func:`rejected_lines` gives; the counts are taken while the rows are
+    written, so that no line is read or matched a second time.
+    """
     carried = [c for c in lines.columns if c != "value"]
-    return matched.select(*columns, *carried)
+    parsed = _alert_columns(grammar, interface)
+    rejected = F.col("captured").isNull()
+    seen = Observation()
+    rows = mark_wanted(lines, *_captured(grammar)).select(
+        *parsed, *carried, F.when(rejected, F.col("value")).alias("_value"),
+        rejected.alias("_rejected"),
+    ).observe(
+        seen, F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("_rejected")).alias("parsed")
+    )
+    rows.write.mode("overwrite").partitionBy("_rejected").parquet(path)
+    # the folder of the partition says which it is; either may be missing
+    stored = lines.sparkSession.read.schema(
+        T.StructType([f for f in rows.schema.fields if f.name != "_rejected"])
+        .add("_rejected", "boolean")
+    ).parquet(path)
+    alerts = [c for c in rows.columns if c not in ("_value", "_rejected")]
+    return ParsedLines(
+        stored.filter(~F.col("_rejected")).select(*alerts),
+        stored.filter("_rejected").select(
+            *(F.col("_value").alias(c) if c == "value" else c for c in lines.columns)
+        ),
+        **seen.get,
+    )
+
+
+def _fits(grammar: str) -> Column:
+    fits = F.size(_captures(F.col("value"), grammar)) == len(_GRAMMARS[grammar][1])
+    return F.coalesce(fits, F.lit(False))
 
 
 def count_lines(lines: DataFrame, *, grammar: str = "archive") -> DataFrame:
     """One row: lines read, lines parsed, lines rejected."""
-    _, groups, _ = _GRAMMARS[grammar]
-    fits = F.size(_captures(F.col("value"), grammar)) == len(groups)
+    return count_lines_by(lines, [grammar]).drop("grammar")
+
+
+def count_lines_by(lines: DataFrame, grammars: Iterable[str] = tuple(_GRAMMARS)) -> DataFrame:
+    """Lines read, parsed and rejected: a row for each ``grammar``, all from one scan."""
+    grammars = list(grammars)
     totals = lines.agg(
-        F.count(F.lit(1)).alias("lines"), F.count_if(fits).alias("parsed")
+        F.count(F.lit(1)).alias("lines"), *(F.count_if(_fits(g)).alias(g) for g in grammars)
     )
-    return totals.withColumn("rejected", F.col("lines") - F.col("parsed"))
+    return totals.select(F.inline(F.array(*(
+        F.struct(
+            F.lit(g).alias("grammar"), F.col("lines"), F.col(g).alias("parsed"),
+            (F.col("lines") - F.col(g)).alias("rejected"),
+        )
+        for g in grammars
+    ))))
 
 
 def rejected_lines(lines: DataFrame, *, grammar: str = "archive") -> DataFrame:
     """The lines :func:`parse_alert_lines` drops, unchanged."""
-    _, groups, _ = _GRAMMARS[grammar]
-    fits = F.size(_captures(F.col("value"), grammar)) == len(groups)
-    return lines.filter(~F.coalesce(fits, F.lit(False)))
+    return lines.filter(~_fits(grammar))
 
 
 def event_time(timestamp: Column) -> Column:

@@ -101,8 +101,8 @@ def number_lines(batch: DataFrame) -> DataFrame:
     return batch.withColumn("source_order", F.col("source_order").withField("line", line))
 
 
-def keep_wanted(df: DataFrame, parsed: Column, wanted, name: str) -> DataFrame:
-    """Add ``parsed`` as column ``name``; keep rows for which ``wanted`` holds.
+def mark_wanted(df: DataFrame, parsed: Column, wanted, name: str) -> DataFrame:
+    """Add ``parsed`` as column ``name``, null in rows for which ``wanted`` does not hold.
 
     ``wanted`` takes and returns a Column. A plain filter over a computed
     column is pushed below the projection that computes it, and the expensive
@@ -111,6 +111,9 @@ def keep_wanted(df: DataFrame, parsed: Column, wanted, name: str) -> DataFrame:
     works on streams too.
     """
     hit = F.filter(F.array(parsed), wanted)
-    return df.select("*", F.explode_outer(hit).alias(name)).filter(
-        F.col(name).isNotNull()
-    )
+    return df.select("*", F.explode_outer(hit).alias(name))
+
+
+def keep_wanted(df: DataFrame, parsed: Column, wanted, name: str) -> DataFrame:
+    """Like :func:`mark_wanted`, without the rows that are not wanted."""
+    return mark_wanted(df, parsed, wanted, name).filter(F.col(name).isNotNull())

@@ -19,7 +19,13 @@ from palisade.functions.assessment import ARROW
 from palisade.operators import profile, report, rollup
 from palisade.operators.enrich import join_ttl, latest_ttl, newest_ttl
 from palisade.operators.numbering import with_position
-from palisade.operators.score import BatchFunction, assess_profiles, score_alerts
+from palisade.operators.score import (
+    BatchFunction,
+    PartsAssessor,
+    assess_profiles,
+    assess_sequences,
+    score_alerts,
+)
 from palisade.plans.analytics import AnalystView, analyst_view
 from palisade.schemas import ALERTS, KPIS, PROFILES, ROLLUP, TTLS
 from palisade.sources.alert_log import parse_alert_lines
@@ -31,6 +37,9 @@ POLL_INTERVAL = "10 seconds"
 
 MERGE_EVERY = FANOUT  # batches
 
+# metrics of a micro-batch
+_NEW_LINES, _NEW_ALERTS = "new_lines", "new_alerts"
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -103,10 +112,28 @@ def parsed_stream(lines: DataFrame) -> DataFrame:
 
     ``created_at`` is the time of the micro-batch, the same if it runs again.
     """
-    alerts = parse_alert_lines(distinct_lines(lines), grammar="live")
+    number = F.count(F.lit(1)).alias("rows")
+    once = distinct_lines(lines).observe(_NEW_LINES, number)
+    alerts = parse_alert_lines(once, grammar="live").observe(_NEW_ALERTS, number)
     return alerts.withColumn("created_at", F.current_timestamp())
 
 
+def line_counts(query: StreamingQuery) -> dict[str, int]:
+    """New lines, and those parsed and rejected, over the batches whose progress is kept.
+
+    Counted while the batches ran; no line is read again. A session keeps the
+    last ``spark.sql.streaming.numRecentProgressUpdates``; a listener on the
+    same metrics can add up all.
+    """
+    lines = parsed = 0
+    for progress in query.recentProgress:
+        seen = progress.observedMetrics
+        if _NEW_LINES in seen:
+            lines += seen[_NEW_LINES].rows
+            parsed += seen[_NEW_ALERTS].rows
+    return {"lines": lines, "parsed": parsed, "rejected": lines - parsed}
+
+
 def _numbered(batch: DataFrame, batch_id: int, tables: Tables) -> DataFrame:
     """Ids in log-time order, running on from the last id of the earlier batches."""
     last = tables.alert_table(batch.sparkSession).highest("id", before=batch_id) or 0
@@ -156,12 +183,14 @@ def profile_batch(
     stored: DataFrame, batch_id: int, tables: Tables,
     assessor: BatchFunction | None = None,
     max_sequence: int | None = None,
+    sequence_assessor: PartsAssessor | None = None,
 ) -> None:
     """Profile the attackers that this batch made repeat attackers.
 
     Only a source with a hack in this batch can newly reach the minimum, so
     the batch decides whom to look at. An assessor also gets ``attack_sequence``,
-    the ordered attacks up to this batch (all, or the first ``max_sequence``).
+    the ordered attacks up to this batch (all, or the first ``max_sequence``);
+    a ``sequence_assessor`` gets them part by part, so that no row holds them all.
     Their history comes from the roll-up, of which only the buckets of this
     batch's attackers are read, and of those only their own rows are kept. A
     profile is written once and never refreshed; rows of this very batch are
@@ -182,14 +211,18 @@ def profile_batch(
         candidates, "src_ip", "left_semi"
     )
     due = profile.profile_facts(history).join(candidates, "src_ip")
-    if assessor is not None:
-        due = due.join(
-            _sequences(stored, touched_rollup(rollups, attackers, batch_id), due, tables,
-                       max_sequence),
-            "src_ip", "left",
+    if assessor is None and sequence_assessor is None:
+        assessed = assess_profiles(due)
+    else:
+        parts = _sequence_parts(
+            stored, touched_rollup(rollups, attackers, batch_id), due, tables, max_sequence
         )
+        if sequence_assessor is not None:
+            assessed = due.join(assess_sequences(parts, sequence_assessor), "src_ip")
+        else:
+            assessed = assess_profiles(due.join(_joined(parts), "src_ip", "left"), assessor)
     rows = (
-        assess_profiles(due, assessor)
+        assessed
         .withColumn("time_span", profile.time_span(F.col("first_seen"), F.col("last_seen")))
         .withColumn("created_at", F.col("last_seen"))
         .withColumn("updated_at", F.col("last_seen"))
@@ -256,11 +289,11 @@ def start_flow_ingest(
     return _started(writer, available_now)
 
 
-def _sequences(
+def _sequence_parts(
     stored: DataFrame, earlier: DataFrame, due: DataFrame, tables: Tables,
     max_sequence: int | None = None,
 ) -> DataFrame:
-    """``attack_sequence`` of the sources in ``due``, whole or its first ``max_sequence`` steps.
+    """The sequences of the sources in ``due`` in parts, whole or the first ``max_sequence`` steps.
 
     A source is profiled as soon as it has enough hacks, so one that is due
     now had fewer before: at most one, by its facts, and the rest in this batch.
@@ -276,11 +309,14 @@ def _sequences(
     sequence = profile.attack_sequence(hacks, at=f"{tables.staging}-sequence")
     if max_sequence is not None:
         sequence = sequence.filter(F.col("position") <= max_sequence)
+    return profile.sequence_text(sequence)
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """``attack_sequence`` of each source as one text."""
     part = F.struct("part", "attack_sequence")
-    parts = profile.sequence_text(sequence).groupBy("src_ip").agg(
-        F.sort_array(F.collect_list(part)).alias("parts")
-    )
-    return parts.select(
+    whole = parts.groupBy("src_ip").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return whole.select(
         "src_ip",
         F.array_join(F.col("parts.attack_sequence"), ARROW).alias("attack_sequence"),
     )
@@ -293,6 +329,7 @@ def start_ingest(
     ttl: Callable[[], DataFrame] | None = None,
     scorer: BatchFunction | None = None,
     assessor: BatchFunction | None = None,
+    sequence_assessor: PartsAssessor | None = None,
     max_sequence: int | None = None,
     merge_every: int | None = MERGE_EVERY,
     available_now: bool = False,
@@ -303,11 +340,14 @@ def start_ingest(
     there and stops. TTLs are those :func:`start_flow_ingest` has stored by the
     time of the batch; ``ttl`` names another place to get them, called for
     every batch that has alerts. ``max_sequence`` limits the steps an assessor
-    is given; by default it gets all. Every ``merge_every`` batches the tables
+    is given; by default it gets all, which must fit one text. A
+    ``sequence_assessor``, given instead, reads them part by part. Every ``merge_every`` batches the tables
     are maintained (``None``: leave that to a job of yours).
     """
 
     session = lines.sparkSession
+    if assessor is not None and sequence_assessor is not None:
+        raise ValueError("give an assessor or a sequence_assessor, not both")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Written once and read back: the stateful plan behind the batch runs
@@ -320,7 +360,7 @@ def start_ingest(
         stored = store_batch(
             staged, batch_id, tables, ttl=ttl and ttl(), scorer=scorer
         )
-        profile_batch(stored, batch_id, tables, assessor, max_sequence)
+        profile_batch(stored, batch_id, tables, assessor, max_sequence, sequence_assessor)
         if merge_every and (batch_id + 1) % merge_every == 0:
             maintain(session, tables, fanout=max(2, merge_every))
 

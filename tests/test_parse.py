@@ -4,7 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from data import LINE, lines_frame
-from palisade.sources.alert_log import count_lines, event_time, parse_alert_lines
+from palisade.sources.alert_log import (
+    count_lines,
+    count_lines_by,
+    event_time,
+    parse_alert_lines,
+    rejected_lines,
+    store_alert_lines,
+)
 from palisade.sources.eve import flow_seconds, parse_flow_lines, parse_ttl_lines
 from palisade.sources.lines import read_lines, read_lines_if_present
 
@@ -187,3 +194,22 @@ def test_order_across_splits(spark, tmp_path):
 
 def test_missing_source(spark, tmp_path):
     assert read_lines_if_present(spark, str(tmp_path / "none.log")) is None
+
+
+@pytest.mark.parametrize("values", [
+    [LINE, "noise", "", LINE + " trailing", "   "], [LINE], ["noise"], [],
+])
+def test_one_scan_leaves_alerts_rejects_and_counts(spark, tmp_path, rows, values):
+    lines = lines_frame(spark, values)
+    found = store_alert_lines(lines, str(tmp_path / "t"), interface="LAN")
+    assert found.alerts.columns == parse_alert_lines(lines, interface="LAN").columns
+    assert rows(found.alerts) == rows(parse_alert_lines(lines, interface="LAN"))
+    assert rows(found.rejected, *lines.columns) == rows(rejected_lines(lines))
+    assert (found.lines, found.rejects) == (len(values), rejected_lines(lines).count())
+
+
+def test_all_grammars_are_counted_in_one_scan(spark, tmp_path, rows):
+    (tmp_path / "a.log").write_text("\n".join([LINE, "x " + LINE, "noise"]) + "\n")
+    counts = count_lines_by(read_lines(spark, str(tmp_path)))
+    assert rows(counts) == [("archive", 3, 2, 1), ("live", 3, 1, 2)]
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1

@@ -301,3 +301,40 @@ def test_no_flow_lines_no_ttl(feed, spark):
     feed.land(line(1))
     feed.run()
     assert [r["ttl"] for r in feed.alerts().collect()] == [0]
+
+
+def test_assessor_reads_a_long_sequence_part_by_part(feed):
+    def assessor(source, texts):
+        parts = list(texts)
+        if source == "10.0.0.3":
+            raise RuntimeError("no answer")
+        return {"methodology": " → ".join(parts), "objective": len(parts), "skill_level": None}
+
+    feed.land(*(line(n) for n in range(20_003)), line(20_039, signature="Slowloris DoS Attack"),
+              *(line(n, ip="10.0.0.2") for n in range(3)), *(line(n, ip="10.0.0.3") for n in range(2)))
+    feed.run(sequence_assessor=assessor)
+    found = feed.profiles()
+    assert found["10.0.0.1"]["methodology"].split(" → ") == ["port_scan"] * 20_003 + ["dos"]
+    assert found["10.0.0.1"]["objective"] == "3" and found["10.0.0.1"]["skill_level"] is None
+    assert found["10.0.0.1"]["recommended_response"] == "Block 10.0.0.1"
+    assert found["10.0.0.2"]["methodology"] == " → ".join(["port_scan"] * 3)
+    assert found["10.0.0.3"]["methodology"] == "unknown" and found["10.0.0.3"]["attack_count"] == 2
+
+
+def test_parts_an_assessor_leaves_unread(spark, rows):
+    parts = spark.range(40).selectExpr(
+        "concat('s', id % 4) AS src_ip", "id div 4 AS part", "cast(id AS string) AS attack_sequence")
+    first = score.assess_sequences(parts.repartition(7), lambda source, texts: {"methodology": next(texts)})
+    assert rows(first, "src_ip", "methodology") == [(f"s{n}", str(n)) for n in range(4)]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert rows(score.assess_sequences(parts.limit(0), lambda s, t: {})) == []
+
+
+def test_lines_are_counted_while_they_are_ingested(feed):
+    feed.land(line(1), "junk", line(2))
+    feed.land(line(1), "more junk", line(3))
+    lines = stream_lines(feed.spark, str(feed.folder), max_files_per_trigger=1)
+    query = ingest.start_ingest(lines, feed.tables, available_now=True)
+    query.awaitTermination()
+    assert ingest.line_counts(query) == {"lines": 5, "parsed": 3, "rejected": 2}

@@ -388,6 +388,17 @@ ORACLE_SQL: dict[str, str] = {
                (SELECT count(*) FROM lines) - (SELECT count(*) FROM live)""",
         "parsed", "live",
     ),
+    "alerts_and_rejects": _with(
+        f"""
+        SELECT source_rank, line, kind, content,
+               (SELECT count(*) FROM lines) AS lines,
+               (SELECT count(*) FROM lines) - (SELECT count(*) FROM live) AS rejects
+        FROM (SELECT source_rank, line, 'alert' AS kind, signature AS content FROM live
+              UNION ALL
+              SELECT source_rank, line, 'rejected', "value" FROM lines
+              WHERE NOT regexp_matches(trim("value"), {_text('^' + fixed.LIVE_LINE_PATTERN)}))""",
+        "lines", "live",
+    ),
     "rejected_alert_lines": _with(
         f"""
         SELECT "value", interface, source_rank, line FROM lines
@@ -708,6 +719,16 @@ ORACLE_SQL: dict[str, str] = {
         WHERE llm_classification = 'hack' GROUP BY src_ip HAVING count(*) >= 2""",
         "live", "rendered",
     ),
+    "stream_profile_parts": _with(
+        f"""
+        SELECT src_ip, count(*) AS attack_count,
+               sha256(string_agg(attack_type, ' → ' ORDER BY "timestamp", md5("value"))) AS sequence_sha256,
+               count(*) AS steps, 'Block ' || src_ip AS recommended_response
+        FROM (SELECT *, {_VERDICTS.replace('attack_type, explanation,', '')}
+              FROM ({_SCORED_LIVE.format(_LIVE_ONCE)}) JOIN rendered USING (line))
+        WHERE llm_classification = 'hack' GROUP BY src_ip HAVING count(*) >= 2""",
+        "live", "rendered",
+    ),
     "stream_new_per_batch": _with("SELECT count(DISTINCT line) AS alerts FROM live", "live"),
     "stream_profiles": _with(
         f"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from palisade import schemas
 from palisade.functions import assessment, bands, labels
+from palisade.functions.assessment import ARROW
 from palisade.operators import dataset as ds
 from palisade.operators import enrich, profile, report, rollup, score
 from palisade.plans import analytics
@@ -18,10 +20,11 @@ from palisade.plans.dataset import build_dataset, read_alert_logs
 from palisade.session import fresh_path
 from palisade.sources import tables
 from palisade.sources.alert_log import (
-    count_lines,
+    count_lines_by,
     event_time,
     parse_alert_lines,
     rejected_lines,
+    store_alert_lines,
 )
 from palisade.sources.eve import parse_flow_lines, parse_ttl_lines
 from palisade.sources.lines import newest_lines
@@ -89,10 +92,24 @@ def parse_alert_lines_live(spark, sf_dir):
 
 @query
 def parse_reject_count(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    archive = count_lines(lines).withColumn("grammar", F.lit("archive"))
-    live = count_lines(lines, grammar="live").withColumn("grammar", F.lit("live"))
-    return archive.unionByName(live)
+    return count_lines_by(_lines(spark, sf_dir))
+
+
+@query
+def alerts_and_rejects(spark, sf_dir):
+    """One scan leaves alerts, rejected lines and counts; what each table holds."""
+    found = store_alert_lines(
+        _lines(spark, sf_dir), fresh_path(spark, "parsed"), grammar="live"
+    )
+    alerts = _source_line(found.alerts).select(
+        "source_rank", "line", F.lit("alert").alias("kind"), F.col("signature").alias("content")
+    )
+    rejected = _source_line(found.rejected).select(
+        "source_rank", "line", F.lit("rejected").alias("kind"), F.col("value").alias("content")
+    )
+    return alerts.unionByName(rejected).withColumns({
+        "lines": F.lit(found.lines).cast("bigint"), "rejects": F.lit(found.rejects).cast("bigint"),
+    })
 
 
 @query
@@ -725,6 +742,27 @@ def stream_profile_sequence(spark, sf_dir):
     )
 
 
+@query
+def stream_profile_parts(spark, sf_dir):
+    """Profiles whose assessor reads the attack sequence part by part."""
+    where = ingest.Tables.below(fresh_path(spark, "ingest"))
+
+    def assessor(source: str, texts: Iterator[str]) -> dict:
+        digest, steps = hashlib.sha256(), 0
+        for n, text in enumerate(texts):
+            digest.update(((ARROW if n else "") + text).encode())
+            steps += text.count(ARROW) + 1
+        return {"methodology": digest.hexdigest(), "objective": str(steps)}
+
+    ingest.start_ingest(
+        _line_stream(spark, sf_dir), where, sequence_assessor=assessor, available_now=True
+    ).awaitTermination()
+    return ingest.stored_profiles(spark, where).select(
+        "src_ip", "attack_count", F.col("methodology").alias("sequence_sha256"),
+        F.col("objective").cast("bigint").alias("steps"), "recommended_response",
+    )
+
+
 @query
 def stream_new_per_batch(spark, sf_dir):
     return ingest.batch_counts(spark, _ingested(spark, sf_dir)).select("alerts")
