@@ -31,6 +31,8 @@ SIGNATURES = (
 )
 PORTS = (22, 80, 443, 445, 21, 8080, 3389, 0)
 TTLS = (0, 64, 128, 255, 48, 32)
+ROW_GROUP_BYTES = 1 << 20  # of a landed file; a row group is never divided
+
 
 def _pick(values, index: Column) -> Column:
     return F.array(*(F.lit(v) for v in values))[index.cast("int")]
@@ -38,8 +40,7 @@ def _pick(values, index: Column) -> Column:
 
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with the fields of alerts, spread over all cores."""
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return _with_fields(table.repartition(spark.sparkContext.defaultParallelism))
+    return _spread_with_fields(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +54,23 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_stream_of_files(
     spark: SparkSession, sf_dir: str, folder: str, files: int
 ) -> DataFrame:
-    """The same stream from several files below ``folder``, one file per micro-batch."""
+    """The same stream from several files below ``folder``, one file per micro-batch.
+
+    The files have many row groups, so that several tasks read the one file of
+    a batch; one of a single row group is read by one task, whatever its size.
+    """
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    table.repartition(files).write.parquet(folder)
+    table.repartition(files).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(folder)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
-    return _with_fields(stream.parquet(folder))
+    return _spread_with_fields(stream.parquet(folder))
+
+
+def _spread_with_fields(table: DataFrame) -> DataFrame:
+    """The narrow rows are moved, so that all cores share making and parsing lines.
+
+    A file, and with it a micro-batch, may be a few splits only.
+    """
+    return _with_fields(table.repartition(table.sparkSession.sparkContext.defaultParallelism))
 
 
 def _with_fields(table: DataFrame) -> DataFrame:
