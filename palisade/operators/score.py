@@ -114,12 +114,17 @@ def rule_verdict(alerts: DataFrame) -> DataFrame:
     hack; risk falls with the priority number and is lower for likely noise.
     """
     signature, priority = F.col("signature"), F.col("priority")
-    attack = labels.attack_type(signature)
-    noise = labels.fp_likelihood(signature, priority, None)
+    attack, noise = F.col("_attack"), F.col("_noise")
     likely_noise = noise >= fixed.FALSE_POSITIVE_FROM
     by_priority = F.when(priority == 1, 9).when(priority == 2, 7).otherwise(4)
+    # the patterns are matched in a step of their own: once for each alert,
+    # however many columns need what they found
+    matched = alerts.withColumns({
+        "_attack": labels.attack_type(signature),
+        "_noise": labels.fp_likelihood(signature, priority, None),
+    })
     return (
-        alerts.withColumn(
+        matched.withColumn(
             "llm_classification",
             F.when(likely_noise | (attack == fixed.OTHER_ATTACK), F.lit("normal"))
             .otherwise(F.lit("hack")),
@@ -137,6 +142,7 @@ def rule_verdict(alerts: DataFrame) -> DataFrame:
             (by_priority - F.when(likely_noise, 3).otherwise(0)).cast("bigint"),
         )
         .withColumn("false_positive_likelihood", noise)
+        .drop("_attack", "_noise")
     )
 
 

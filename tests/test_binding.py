@@ -4,6 +4,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from data import alerts_frame
+from palisade import fixed_values as fixed
+from palisade.operators import score
 from workload import binding
 
 
@@ -61,3 +64,12 @@ def test_one_file_of_a_batch_is_shared_by_all_cores(spark, events, tmp_path):
     expected = binding.wide_events(spark, events)
     assert rows.count() == 150_000
     assert rows.exceptAll(expected).isEmpty()
+
+
+def test_rules_match_each_pattern_once(spark):
+    alerts = alerts_frame(spark, [{"signature": "ET POLICY NMAP scan"}]).drop("attack_type")
+    verdicts = score.rule_verdict(alerts)
+    assert not {"_attack", "_noise"} & set(verdicts.columns)
+    plan = verdicts._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (fixed.INFORMATIONAL_PATTERN, *(p for p, _ in fixed.ATTACK_TYPE_PATTERNS)):
+        assert plan.count(f"RLIKE {pattern}") + plan.count(f", {pattern})") == 1, plan
