@@ -66,6 +66,13 @@ def test_one_file_of_a_batch_is_shared_by_all_cores(spark, events, tmp_path):
     assert rows.exceptAll(expected).isEmpty()
 
 
+def test_the_events_of_a_stream_are_shared_by_all_cores(spark, events, tmp_path):
+    counts, rows = tasks_of_batches(binding.events_stream(spark, events), str(tmp_path / "out"))
+    assert len(counts) == 1
+    shared_by_all_cores(spark, counts)
+    assert rows.exceptAll(binding.wide_events(spark, events)).isEmpty()
+
+
 def test_rules_match_each_pattern_once(spark):
     alerts = alerts_frame(spark, [{"signature": "ET POLICY NMAP scan"}]).drop("attack_type")
     verdicts = score.rule_verdict(alerts)

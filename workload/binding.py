@@ -48,7 +48,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.readStream.schema(schema).option(
         "pathGlobFilter", "events.parquet"
     ).parquet(sf_dir)
-    return _with_fields(table)
+    return _spread_with_fields(table)
 
 
 def events_stream_of_files(
