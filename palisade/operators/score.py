@@ -15,13 +15,17 @@ one is given.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palisade import fixed_values as fixed
 from palisade.functions import assessment, labels
@@ -222,18 +226,15 @@ def assess_sequences(parts: DataFrame, assessor: PartsAssessor) -> DataFrame:
     :func:`assess_profiles`.
     """
     unknown = {name: "unknown" for name in ASSESSMENT.fieldNames()[:-1]}
+    schema = T.StructType([parts.schema["src_ip"], *ASSESSMENT.fields])
+    arrow_schema, answers_per_batch = to_arrow_schema(schema), 1024
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (source,) = key
-
+    def answered(source: Any, rows: Iterator[tuple]) -> dict[str, Any]:
         def texts() -> Iterator[str]:
-            expected = 0
-            for batch in batches:
-                for part, text in zip(batch["part"], batch["attack_sequence"]):
-                    if part != expected:
-                        raise AssertionError(f"part {part} of {source} came for {expected}")
-                    expected += 1
-                    yield text
+            for expected, (_, part, text) in enumerate(rows):
+                if part != expected:
+                    raise AssertionError(f"part {part} of {source} came for {expected}")
+                yield text
 
         rest = texts()
         defaults = {**unknown, "recommended_response": f"Block {source}"}
@@ -245,15 +246,31 @@ def assess_sequences(parts: DataFrame, assessor: PartsAssessor) -> DataFrame:
             answer = defaults
         for _ in rest:  # what the assessor did not want to see
             pass
-        yield pd.DataFrame([{
+        return {
             "src_ip": source,
             **{k: None if answer[k] is None else str(answer[k]) for k in defaults},
-        }])
+        }
 
-    schema = T.StructType([parts.schema["src_ip"], *ASSESSMENT.fields])
-    # grouping finds its rows placed and sorted already, so that order stays
-    placed = parts.select("src_ip", "part", "attack_sequence").repartition("src_ip")
-    return placed.sortWithinPartitions("src_ip", "part").groupBy("src_ip").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            row for batch in batches
+            for row in zip(*(column.to_pylist() for column in batch.columns))
+        )
+        answers = []
+        for source, own in groupby(rows, key=itemgetter(0)):
+            answers.append(answered(source, own))
+            if len(answers) == answers_per_batch:
+                yield pa.RecordBatch.from_pylist(answers, schema=arrow_schema)
+                answers = []
+        yield pa.RecordBatch.from_pylist(answers, schema=arrow_schema)
+
+    # The rows of a source lie together and in order, so a task reads them from
+    # one stream, source after source: a call of Python for each source would
+    # cost more than its rows. A fixed count, because bytes do not tell what an
+    # assessor costs: partitions sized by them leave most cores without work.
+    partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = parts.select("src_ip", "part", "attack_sequence").repartition(partitions, "src_ip")
+    return placed.sortWithinPartitions("src_ip", "part").mapInArrow(run, schema)
 
 
 # --- assessments shown with an attacker ------------------------------------------

@@ -3,6 +3,7 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from data import LINE
@@ -331,6 +332,24 @@ def test_parts_an_assessor_leaves_unread(spark, rows):
     assert rows(score.assess_sequences(parts.limit(0), lambda s, t: {})) == []
 
 
+def test_many_sources_are_assessed_by_all_cores_in_one_pass_each(spark):
+    """Small sequences of many sources: tasks are not made few, nor Python called anew for each."""
+    parts = spark.range(0, 9_000, 1, 3).selectExpr(
+        "concat('s', id % 3000) AS src_ip", "id div 3000 AS part", "concat(id % 3000, '.', id div 3000) AS attack_sequence")
+    parts = parts.unionAll(spark.sql("SELECT cast(NULL AS string), 0L, 'n'"))
+
+    def assessor(source, texts):
+        return {"methodology": ",".join(texts), "objective": TaskContext.get().partitionId()}
+
+    assessed = score.assess_sequences(parts, assessor)
+    found = {r["src_ip"]: r for r in assessed.collect()}
+    assert {k: v["methodology"] for k, v in found.items()} == {
+        None: "n", **{f"s{n}": f"{n}.0,{n}.1,{n}.2" for n in range(3000)}}
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["objective"] for r in found.values()} == {str(n) for n in range(partitions)}
+    assert "FlatMapGroupsInPandas" not in assessed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_are_counted_while_they_are_ingested(feed):
     feed.land(line(1), "junk", line(2))
     feed.land(line(1), "more junk", line(3))
