@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,14 +17,37 @@ def lookup(table: dict[str, str], key: Column, default: Column) -> Column:
     return F.coalesce(F.try_element_at(entries, key), default)
 
 
+def needed_pieces(pattern: str) -> list[str]:
+    """Literal pieces of a pattern: a text that holds none of them cannot match it.
+
+    Empty if the pattern is more than alternatives of literals, ``.?`` and ``\\b``.
+    """
+    pieces = []
+    for alternative in pattern.split("|"):
+        runs = re.split(r"\.\?|\\b", alternative)
+        longest = max(runs, key=len)
+        if not longest or any(re.search(r"[\\^$.*+?()\[\]{}]", run) for run in runs):
+            return []
+        pieces.append(longest)
+    return [p for p in dict.fromkeys(pieces) if not any(o != p and o in p for o in pieces)]
+
+
+def _occurs(text: Column, pattern: str) -> Column:
+    """Whether the pattern matches somewhere; looking for its pieces first is much cheaper."""
+    pieces = needed_pieces(pattern)
+    if not pieces:
+        return text.rlike(pattern)
+    return reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in pieces)) & text.rlike(pattern)
+
+
 def attack_type(signature: Column) -> Column:
     """First attack type whose pattern occurs in the signature, else other."""
     text = F.lower(signature)
     (pattern, label), *rest = fixed.ATTACK_TYPE_PATTERNS
     ladder = reduce(
-        lambda chain, entry: chain.when(text.rlike(entry[0]), F.lit(entry[1])),
+        lambda chain, entry: chain.when(_occurs(text, entry[0]), F.lit(entry[1])),
         rest,
-        F.when(text.rlike(pattern), F.lit(label)),
+        F.when(_occurs(text, pattern), F.lit(label)),
     )
     return ladder.otherwise(F.lit(fixed.OTHER_ATTACK))
 

@@ -55,6 +55,10 @@ def with_position(
     on = F.col("p._part") == F.col("o._part")
     for column in group:
         on = on & F.col(f"p.{column}").eqNullSafe(F.col(f"o.{column}"))
+    if not group:
+        # a row for each partition: moving the rows to these few keys instead
+        # would leave the work on them to as many tasks
+        offsets = F.broadcast(offsets)
     joined = placed.alias("p").join(offsets.alias("o"), on)
     kept = [F.col(f"p.{c}") for c in df.columns]
     position = F.col("_row") - F.col("_first") + F.col("_before") + 1

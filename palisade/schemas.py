@@ -42,10 +42,11 @@ EVE_RECORD = T.StructType([
     ])),
 ])
 
-# The part of a flow-log record the TTL scan needs.
+# The part of a flow-log record the TTL scan needs. Any value can be read as text.
 EVE_TTL_RECORD = T.StructType([
     T.StructField("src_ip", T.StringType()),
     T.StructField("ttl", T.LongType()),
+    T.StructField("alert", T.StringType()),
 ])
 
 _LONG_DATASET_COLUMNS = {

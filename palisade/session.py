@@ -4,9 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+# What a stream takes along when it starts, whatever store its session keeps state in.
+STREAM_DEFAULTS = {
+    # a commit uploads what changed, not whole state files
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # counting the rows of the state would read each key once more
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    # expired state goes with the next batch that has data
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
 # Settings the plans rely on. Broadcast joins are left to the optimizer, which
 # only picks one when the (estimated or, under AQE, measured) size is below
 # spark.sql.autoBroadcastJoinThreshold.
@@ -21,10 +33,7 @@ DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # a commit uploads what changed, not whole state files
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # expired state goes with the next batch that has data
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    **STREAM_DEFAULTS,
 }
 
 
@@ -37,6 +46,23 @@ def build_session(app_name: str = "palisade", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@contextmanager
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Streams started within have :data:`STREAM_DEFAULTS`, but for what the session sets itself.
+
+    A stream copies the settings of its session when it starts, so the session
+    is left as it was.
+    """
+    added = [key for key in STREAM_DEFAULTS if spark.conf.get(key, None) is None]
+    try:
+        for key in added:
+            spark.conf.set(key, STREAM_DEFAULTS[key])
+        yield
+    finally:
+        for key in added:
+            spark.conf.unset(key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 

@@ -12,14 +12,14 @@ from palisade.sources.lines import keep_wanted
 _STRICT = {"allowSingleQuotes": "false"}
 
 
-def _records(line: Column, schema: T.StructType) -> Column:
+def _records(line: Column, schema: T.StructType, **options: str) -> Column:
     """The line wrapped as a JSON array, so only one whole object yields size 1.
 
     Parsing the bare line would accept trailing text and would turn a
     truncated object into a row of nulls.
     """
     wrapped = F.concat(F.lit("["), line, F.lit("]"))
-    return F.from_json(wrapped, T.ArrayType(schema), _STRICT)
+    return F.from_json(wrapped, T.ArrayType(schema), {**_STRICT, **options})
 
 
 def _one_object(records: Column) -> Column:
@@ -84,26 +84,31 @@ def parse_ttl_lines(lines: DataFrame) -> DataFrame:
     """``src_ip``, ``ttl`` of records that carry both an alert and a TTL key.
 
     A key that is present with a null value counts as present, which only the
-    key list of the object can tell. The text test in front spares the JSON
-    parse for lines that cannot qualify.
+    key list of the object can tell; it is made where a value is null. The text
+    test in front spares the JSON parse for lines that cannot qualify.
     """
     value = F.col("value")
     likely = F.contains(value, F.lit('"ttl"')) & F.contains(value, F.lit('"alert"'))
     parsed = F.when(
         likely,
         F.struct(
-            _records(value, EVE_TTL_RECORD).alias("records"),
-            F.json_object_keys(value).alias("keys"),
+            # as strict as the key list, which takes no NaN or Infinity
+            _records(value, EVE_TTL_RECORD, allowNonNumericNumbers="false").alias("records"),
+            value.alias("text"),
         ),
     )
 
     def wanted(line: Column) -> Column:
-        records, keys = line["records"], line["keys"]
+        records, keys = line["records"], F.json_object_keys(line["text"])
+
+        def present(key: str) -> Column:
+            return records[0][key].isNotNull() | F.array_contains(keys, key)
+
         return (
             _one_object(records)
             & (F.coalesce(records[0]["src_ip"], F.lit("")) != F.lit(""))
-            & F.array_contains(keys, "alert")
-            & F.array_contains(keys, "ttl")
+            & present("alert")
+            & present("ttl")
         )
 
     kept = keep_wanted(lines, parsed, wanted, "parsed")

@@ -272,7 +272,10 @@ class SnapshotTable:
             for p in parts if p not in flat
         ]
         if not frames:
-            return self.spark.createDataFrame([], self.schema)
+            # no rows, known to the optimizer, and no Python worker to say so
+            return self.spark.range(1).filter("false").select(
+                *(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields)
+            )
         if buckets is not None:
             frames = [frame.filter(buckets) for frame in frames]
         return reduce(DataFrame.unionAll, (frame.select(*names) for frame in frames))

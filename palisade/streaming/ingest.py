@@ -28,6 +28,7 @@ from palisade.operators.score import (
 )
 from palisade.plans.analytics import AnalystView, analyst_view
 from palisade.schemas import ALERTS, KPIS, PROFILES, ROLLUP, TTLS
+from palisade.session import stream_settings
 from palisade.sources.alert_log import parse_alert_lines
 from palisade.sources.eve import parse_ttl_lines
 from palisade.sources.lines import number_lines
@@ -200,9 +201,11 @@ def profile_batch(
     spark = stored.sparkSession
     rollups, profiles = tables.rollup_table(spark), tables.profile_table(spark)
     rollups.write(rollup.roll_up(stored), batch_id)
-    attackers = (
+    # these two have a row for each source and are needed several times
+    attackers = _written(
         stored.filter(F.col("llm_classification") == "hack")
-        .groupBy("src_ip").agg(F.min("id").alias("id"))
+        .groupBy("src_ip").agg(F.min("id").alias("id")),
+        f"{tables.staging}-attackers",
     )
     candidates = profile.without_profile(
         attackers, profiles.read(before=batch_id, buckets=profiles.buckets_of(attackers))
@@ -210,7 +213,9 @@ def profile_batch(
     history = touched_rollup(rollups, attackers, batch_id + 1).join(
         candidates, "src_ip", "left_semi"
     )
-    due = profile.profile_facts(history).join(candidates, "src_ip")
+    due = _written(
+        profile.profile_facts(history).join(candidates, "src_ip"), f"{tables.staging}-due"
+    )
     if assessor is None and sequence_assessor is None:
         assessed = assess_profiles(due)
     else:
@@ -232,6 +237,12 @@ def profile_batch(
     )
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as stored at ``path``, which is overwritten."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def touched_rollup(rollups: SnapshotTable, sources: DataFrame, before: int) -> DataFrame:
     """The roll-up of earlier batches in the buckets of ``sources``."""
     return rollups.read(before=before, buckets=rollups.buckets_of(sources))
@@ -254,10 +265,11 @@ def maintain(
         table.vacuum(keep_seconds=keep_seconds)
 
 
-def _started(writer, available_now: bool) -> StreamingQuery:
-    if available_now:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=POLL_INTERVAL).start()
+def _started(spark: SparkSession, writer, available_now: bool) -> StreamingQuery:
+    with stream_settings(spark):
+        if available_now:
+            return writer.trigger(availableNow=True).start()
+        return writer.trigger(processingTime=POLL_INTERVAL).start()
 
 
 def start_flow_ingest(
@@ -286,7 +298,7 @@ def start_flow_ingest(
     writer = lines.writeStream.foreachBatch(handle).option(
         "checkpointLocation", tables.flow_checkpoint
     )
-    return _started(writer, available_now)
+    return _started(lines.sparkSession, writer, available_now)
 
 
 def _sequence_parts(
@@ -368,7 +380,7 @@ def start_ingest(
         parsed_stream(lines).writeStream.foreachBatch(handle)
         .option("checkpointLocation", tables.checkpoint)
     )
-    return _started(writer, available_now)
+    return _started(session, writer, available_now)
 
 
 def start_kpis(
@@ -389,7 +401,7 @@ def start_kpis(
         report.kpis(alerts).writeStream.outputMode("complete").foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
     )
-    return _started(writer, available_now)
+    return _started(alerts.sparkSession, writer, available_now)
 
 
 def _kpi_table(spark: SparkSession, path: str) -> SnapshotTable:

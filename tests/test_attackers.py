@@ -207,3 +207,16 @@ def test_rule_verdict(spark, priority, signature, verdict, risk):
     frame = alerts_frame(spark, [{"priority": priority, "signature": signature}])
     row = score.score_alerts(frame).first()
     assert (row["llm_classification"], row["risk_score"]) == (verdict, risk)
+
+
+def test_numbering_all_rows_moves_them_once(spark):
+    """Joined on the few numbers of partitions, they would meet in as many tasks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = with_position(spark.range(1000).repartition(3), ["id"])
+        assert numbered.filter("position != id + 1").isEmpty()
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

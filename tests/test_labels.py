@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from palisade import fixed_values as fixed
 from palisade.functions import assessment, bands, labels
 
 
@@ -142,3 +143,23 @@ def test_assessment(spark, types, steps, objective, skill):
 def test_unknown_label_shows_itself(spark):
     assert value(spark, labels.attack_label(F.col("a")), a="dos") == "DoS"
     assert value(spark, labels.attack_label(F.col("a")), a="info_leak") == "info_leak"
+
+
+def test_pieces_a_match_needs():
+    assert labels.needed_pieces(r"port.?scan|nmap|udp.?scan|rat\b") == ["port", "nmap", "scan", "rat"]
+    for pattern in (r"a.*b", r"(a|b)c", r"x|.?", r"\d+|y", r"a[bc]"):
+        assert labels.needed_pieces(pattern) == []
+
+
+def test_patterns_are_matched_only_where_their_pieces_occur(spark):
+    texts = [a + x + b for a in ("", "ET ") for b in ("", "s") for pattern, _ in fixed.ATTACK_TYPE_PATTERNS
+             for alternative in pattern.split("|") for word in [alternative.replace("\\b", "")]
+             for x in (word.replace(".?", ""), word.replace(".?", "-").upper(), word.replace(".?", "--"))]
+    frame = spark.createDataFrame([(x,) for x in [*texts, None, "", "port", "scan"]], "s string")
+    text, ladder = F.lower("s"), F.lit(fixed.OTHER_ATTACK)
+    for pattern, label in reversed(fixed.ATTACK_TYPE_PATTERNS):
+        ladder = F.when(text.rlike(pattern), F.lit(label)).otherwise(ladder)
+    found = frame.select(labels.attack_type(F.col("s")).alias("got"), ladder.alias("expected"))
+    assert found.filter("NOT got <=> expected").isEmpty()
+    plan = found.select("got")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(") < plan.index("RLIKE"), plan

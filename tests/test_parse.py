@@ -213,3 +213,20 @@ def test_all_grammars_are_counted_in_one_scan(spark, tmp_path, rows):
     counts = count_lines_by(read_lines(spark, str(tmp_path)))
     assert rows(counts) == [("archive", 3, 2, 1), ("live", 3, 1, 2)]
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_keys_of_a_ttl_line_are_listed_only_where_a_value_is_null(spark):
+    lines = [
+        '{"src_ip": "a", "ttl": 1, "alert": {"x": [1]}}', '{"src_ip": "b", "ttl": null, "alert": "x"}',
+        '{"src_ip": "c", "ttl": 3, "alert": null}', '{"src_ip": "d", "flow": {"ttl": 4}, "alert": 5}',
+        '{"src_ip": "e", "ttl": 5, "flow": {"alert": 1}}', '{"src_ip": "f", "ttl": "6", "alert": {}}',
+        '{"src_ip": "g", "ttl": 7, "alert": {}, "x": NaN}', '{"src_ip": "h", "ttl": 8, "ttl": null, "alert": {}}',
+        '{"src_ip": "i", "ttl": 9, "alert": {"x": 1}', '{"src_ip": "j", "ttl": 10.5, "alert": []}',
+        '{"src_ip": "k", "ttl": 11, "alert": {"x": Infinity}}', "{'src_ip': 'l', \"ttl\": 12, \"alert\": {}}",
+    ]
+    parsed = parse_ttl_lines(lines_frame(spark, lines))
+    assert {r["src_ip"]: r["ttl"] for r in parsed.collect()} == {
+        "a": 1, "b": None, "c": 3, "f": None, "h": None, "j": None}
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    keys = "jsonObjectKeys("
+    assert plan.count(keys) == plan.count(f"OR array_contains(static_invoke(JsonExpressionUtils.{keys}") == 2, plan

@@ -110,3 +110,9 @@ def test_merged_buckets_are_pruned_and_combined(spark, tmp_path):
     assert {"s1", "s2"} <= {r["src_ip"] for r in some.collect()}
     assert some.count() < 200
     assert "PartitionFilters: [isnotnull(bucket" in some._jdf.queryExecution().toString() or len(buckets) < 3
+
+
+def test_an_empty_table_is_known_to_be_empty(spark, table):
+    rows = table.read()
+    assert rows.dtypes == [("id", "bigint"), ("batch_id", "bigint")] and rows.isEmpty()
+    assert "LocalRelation <empty>" in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from data import LINE
 from palisade.operators import profile, report, score
 from palisade.operators.enrich import newest_ttl
+from palisade.session import STREAM_DEFAULTS
 from palisade.sources import tables
 from palisade.sources.alert_log import parse_alert_lines
 from palisade.sources.lines import read_lines, stream_lines
@@ -357,3 +358,16 @@ def test_lines_are_counted_while_they_are_ingested(feed):
     query = ingest.start_ingest(lines, feed.tables, available_now=True)
     query.awaitTermination()
     assert ingest.line_counts(query) == {"lines": 5, "parsed": 3, "rejected": 2}
+
+
+def test_a_stream_of_a_plain_session_runs_no_batch_without_data(feed, spark):
+    plain = spark.newSession()
+    for key in STREAM_DEFAULTS:
+        plain.conf.unset(key)
+    feed.spark = plain
+    feed.land(line(1), line(2), line(1))
+    feed.run()
+    assert feed.alerts().count() == 2
+    offsets = os.listdir(os.path.join(feed.tables.checkpoint, "offsets"))
+    assert [name for name in offsets if name.isdigit()] == ["0"]
+    assert [plain.conf.get(key, None) for key in STREAM_DEFAULTS] == [None] * len(STREAM_DEFAULTS)
